@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, packing, tokenfile
+from tidemark.llm import bpe, crosspolytope, packing, tokenfile, warc
 from tidemark.llm.common import documents
 
 
+def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op6_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
@@ -22,4 +27,8 @@ def op8_huffman_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_bpe_rank_array, op7_sum_of_squares_packing, op8_huffman_token_file)}
+def op10_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_cross_polytope, op6_bpe_rank_array, op7_sum_of_squares_packing, op8_huffman_token_file, op10_warc_boundary_chain)}
