@@ -30,7 +30,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     for k, step in enumerate((_BASE, _INVERSE)):
         while len(_powers[k]) <= n:
             have = _powers[k]
-            _powers[k] = np.concatenate([have, have * (have[-1] * step)])
+            _powers[k] = np.concatenate([have, have * (have[-1:] * step)])
     return _powers[0], _powers[1]
 
 
