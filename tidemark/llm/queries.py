@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, crosspolytope, packing, suffix, tokenfile, warc
+from tidemark.llm import bpe, crosspolytope, jaccard, packing, suffix, tokenfile, warc
 from tidemark.llm.common import documents
 
 
@@ -19,6 +19,10 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(documents(spark, sf_dir))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(documents(spark, sf_dir))
+
+
 def op6_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
@@ -35,4 +39,4 @@ def op10_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_cross_polytope, op4_suffix_array_dedup, op6_bpe_rank_array, op7_sum_of_squares_packing, op8_huffman_token_file, op10_warc_boundary_chain)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_cross_polytope, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_bpe_rank_array, op7_sum_of_squares_packing, op8_huffman_token_file, op10_warc_boundary_chain)}
