@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, crosspolytope, jaccard, outliers, packing, suffix, tokenfile, warc
+from tidemark.llm import bloomlm, bpe, crosspolytope, jaccard, outliers, packing, suffix, tokenfile, warc
 from tidemark.llm.common import documents
 
 
@@ -39,8 +39,12 @@ def op8_huffman_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(documents(spark, sf_dir))
 
 
+def op9_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloomlm.score(documents(spark, sf_dir))
+
+
 def op10_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mcd_outliers, op3_cross_polytope, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_bpe_rank_array, op7_sum_of_squares_packing, op8_huffman_token_file, op10_warc_boundary_chain)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mcd_outliers, op3_cross_polytope, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_bpe_rank_array, op7_sum_of_squares_packing, op8_huffman_token_file, op9_log_frequency_bloom, op10_warc_boundary_chain)}
