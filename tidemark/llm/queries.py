@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bloomlm, bpe, crosspolytope, jaccard, outliers, packing, suffix, tokenfile, warc
+from tidemark.llm import bloomlm, bpe, crosspolytope, jaccard, kneserney, outliers, packing, suffix, tokenfile, warc
 from tidemark.llm.common import documents
 
 
+def op1_kneser_ney_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneserney.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.score(documents(spark, sf_dir))
 
@@ -47,4 +51,4 @@ def op10_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mcd_outliers, op3_cross_polytope, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_bpe_rank_array, op7_sum_of_squares_packing, op8_huffman_token_file, op9_log_frequency_bloom, op10_warc_boundary_chain)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kneser_ney_perplexity, op2_mcd_outliers, op3_cross_polytope, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_bpe_rank_array, op7_sum_of_squares_packing, op8_huffman_token_file, op9_log_frequency_bloom, op10_warc_boundary_chain)}
