@@ -4,21 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import common, packing
+from tidemark.llm import common, jaccard, kneserney, outliers, packing, suffix
 
-#: No SQL: the stages iterate or are stateful.
+#: No SQL: the stages iterate, hash and pack.
 ORACLE_SQL = None
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity under the trusted texts' model is not beyond their language's threshold."""
+    return kneserney.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source."""
+    return outliers.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near copies."""
+    return jaccard.keep_one(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that documents with smaller ids hold too."""
+    return suffix.clean(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens from all texts that are left."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [
+    ("quality classifier", classify),
+    ("quality rules", rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("best-fit packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another, each result written as Parquet and read again."""
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = common.materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
