@@ -7,8 +7,8 @@ documents are then joined with these tables, suffix by suffix, which gives each
 document's perplexity is the exponential of its mean negative log probability, over its whole text. A table of up to
 BROADCAST_GRAMS n-grams goes to the workers; a larger one is joined with the n-gram counts of the documents.
 
-A document is kept if its log perplexity is at most that of QUANTILE of the trusted documents of its language, plus MARGIN;
-languages with fewer than LEAST trusted documents use the quantile over all. The quantiles come from histograms.
+A document is kept if its log perplexity is at most that of QUANTILE of the held-out trusted documents (one of FOLDS folds) of its
+language, plus MARGIN; languages with fewer than LEAST of these use the quantile over all. The quantiles come from histograms.
 
 Defined results: a null or empty text has no perplexity and is not kept; without any trusted text there is no perplexity
 and every document with a character is kept; null languages are a language; repeated rows and null doc_ids each get their row;
@@ -36,6 +36,8 @@ BROADCAST_GRAMS = 4_000_000
 QUANTILE = 0.995
 MARGIN = 0.1
 LEAST = 100
+#: One fold of the trusted documents sets the thresholds and takes no part in training.
+FOLDS = 4
 BINS = 256
 
 
@@ -218,7 +220,8 @@ def _by_join(rows: DataFrame, table: np.ndarray, scored: DataFrame) -> DataFrame
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, threshold and kept of every row."""
     trusted = common.materialise(trusted_ids(labels), "trusted-ids")
-    sample = trusted.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(train_docs)
+    held_out = F.pmod(F.xxhash64("trusted_id", F.lit("fold")), F.lit(FOLDS)) == 0
+    sample = trusted.where(~held_out).orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(train_docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("trusted_id")).where("text <> ''")
     model = Model(texts)
     if not (model.table < UNKNOWN).any():
@@ -226,7 +229,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
         nothing = F.lit(None).cast("double")
         return rows.select("doc_id", "lang", "n_chars", nothing.alias("perplexity"), nothing.alias("threshold"), (F.col("n_chars") > 0).alias("kept"))
     rows = common.materialise(perplexities(docs, model).withColumn("lang_key", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("~"))), "perplexity")
-    good = rows.where("log_ppl is not null").join(trusted, F.col("doc_id") == F.col("trusted_id"), "left_semi")
+    good = rows.where("log_ppl is not null").join(trusted.where(held_out), F.col("doc_id") == F.col("trusted_id"), "left_semi")
     counts = good.select("lang_key", F.floor(F.col("log_ppl") * BINS).alias("bin")).groupBy("lang_key", "bin").agg(F.count(F.lit(1)).alias("c"))
     both = counts.union(counts.groupBy(F.lit("").alias("lang_key"), "bin").agg(F.sum("c").alias("c")))
     total, reached = F.sum("c").over(Window.partitionBy("lang_key")), F.sum("c").over(Window.partitionBy("lang_key").orderBy("bin"))
