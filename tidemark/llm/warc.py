@@ -32,6 +32,7 @@ DATE = "2024-01-01T00:00:00Z"
 ROTATE = 256 << 20
 RANGE = 8 << 20
 HEADER_LIMIT = 64 << 10
+BROADCAST_GROUPS = 1_000_000
 _NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:tidemark:page")
 _RECORD = "file string, at long, next long, size long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
 _FIELDS = _RECORD.replace(" string", "").replace(" long", "").replace(" boolean", "").split(", ")
@@ -67,6 +68,9 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> list[tuple[str
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.unhex(F.sha1(html)).alias("sha1"))
     long_enough = F.octet_length("html") >= least_bytes
     groups = rows.where(long_enough).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("sha1").alias("known"), "first")
+    groups = common.materialise(groups, "copies")
+    if groups.count() <= BROADCAST_GROUPS:  # 28 bytes each; beyond that, rows and groups are shuffled by digest
+        groups = F.broadcast(groups)
     marked = rows.join(groups, (F.col("sha1") == F.col("known")) & long_enough, "left").withColumn("revisit", F.col("known").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
