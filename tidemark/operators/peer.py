@@ -22,7 +22,7 @@ def percentile_ranks(values: DataFrame, by: list[str], higher_is_better: bool =
 
 def display_pct(pct: Column, ranked: Column) -> Column:
     """Turned so that lower is better, within 0 and 100."""
-    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 + F.lit(100.0) / ranked - pct))
+    return F.when(pct.isNotNull(), F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 + F.lit(100.0) / ranked - pct)))
 
 
 def category_aggregate(values: DataFrame, by: list[str]) -> DataFrame:

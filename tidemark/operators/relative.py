@@ -33,7 +33,7 @@ def relative(rows: DataFrame, benchmark: DataFrame, rf: DataFrame, keys: list[st
     d, n = r - rb, F.count(r - rb)
     var_b = F.var_pop(F.when(r.isNotNull(), rb))
     beta = F.when((n >= 2) & (var_b >= 1e-30), F.covar_pop(r, rb) / F.nullif(var_b, F.lit(0.0)))
-    rho = F.when((n >= 2) & (var_b >= 1e-30) & (F.var_pop(r) > 0), F.corr(r, rb))
+    rho = F.when((n >= 2) & (var_b >= 1e-30) & (F.var_pop(r) > 0), F.try_divide(F.covar_pop(r, rb), F.sqrt(var_b * F.var_pop(r))))
     over = F.col("r") - F.col("f")
     return joined.groupBy(*keys).agg(
         n.alias("n"),
