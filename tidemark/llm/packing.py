@@ -2,8 +2,8 @@
 
 Documents become ids with an end id; those longer than a sequence are cut so that only their first piece may be shorter.
 Full pieces are sequences of their own. The others are dealt to shards by a hash of their key, and each shard places them,
-longest first, into the open sequence (or a new one) for which the sum over gaps of the squared number of open sequences with
-that gap becomes smallest; ties go to the smallest gap. Sequences that end with a gap are opened again and their pieces
+longest first, into the open sequence for which the sum over gaps of the squared number of open sequences with that gap
+becomes smallest; ties go to the smallest gap, and a new sequence begins only where no open one fits. Sequences that end with a gap are opened again and their pieces
 are packed in a further round with fewer shards, until one shard holds what is left. A task holds `shard_items` pieces.
 
 Defined results: a null or empty text is one piece that holds only the end id; repeated rows and null doc_ids each keep
@@ -26,6 +26,7 @@ from tidemark.llm import bpe, common, kernels
 CAPACITY = 1024
 END_ID = 2
 SHARD_ITEMS = 50_000
+NEVER = np.iinfo(np.int64).max
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = f"{_PIECES}, sequence_id long, offset long, closed boolean"
 
@@ -70,10 +71,9 @@ def place(lengths: list[int], capacity: int) -> tuple[list[int], list[int], list
         after = gaps[: capacity - size + 1]  # by the gap that would remain
         cost = 2 * (after - gaps[size:]) + 2
         cost[0] -= 1
-        cost[gaps[size:] == 0] = np.iinfo(np.int64).max
-        fresh = 2 * after[-1] + 1 if size < capacity else 0
+        cost[gaps[size:] == 0] = NEVER
         rest = int(cost.argmin())
-        if cost[rest] <= fresh:
+        if cost[rest] < NEVER:  # some open sequence fits
             gap = rest + size
             b = held[gap].pop()
             gaps[gap] -= 1
