@@ -31,12 +31,13 @@ from tidemark.llm.components import components
 
 WORDS = 5
 PERCENT = 80
-SMALL = 24
+SMALL = 96
 HOT_SHINGLES = 200_000
 HOT_IN_CHUNK = 4
 BUCKET_TEXT = 4 << 20
 PACK_SHINGLES = 1 << 20
 TILE_ROWS = 4096
+SIEVE_BITS = 1 << 27
 
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> list[np.ndarray]:
@@ -125,14 +126,15 @@ def _prefixes(docs: DataFrame, hot: np.ndarray, buckets: int, words: int, percen
             count = [len(r[2]) for r in rows]
             h = np.concatenate([r[2] for r in rows])
             doc, size = np.repeat(np.array([r[0] for r in rows]), count), np.repeat(np.array([r[1] for r in rows]), count)
+            place = np.concatenate([np.arange(c) for c in count])
             bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            h, doc, size, bucket = h[order], doc[order], size[order], bucket[order]
+            h, doc, size, place, bucket = h[order], doc[order], size[order], place[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             bounds = np.append(cuts, len(h)).tolist()
             spans = list(zip(bounds[:-1], bounds[1:], strict=True))
-            cells = [[pack(x[a:b].tobytes()) for a, b in spans] for x in (h, doc.astype("<i8"), size.astype("<u4"))]
-            return pa.record_batch([pa.array(bucket[cuts]), *(pa.array(c, pa.binary()) for c in cells)], ["bucket", "h", "doc", "size"])
+            cells = [[pack(x[a:b].tobytes()) for a, b in spans] for x in (h, doc.astype("<i8"), size.astype("<u4"), place.astype("<u4"))]
+            return pa.record_batch([pa.array(bucket[cuts]), *(pa.array(c, pa.binary()) for c in cells)], ["bucket", "h", "doc", "size", "place"])
 
         for chunk in kernels.chunks(batches):
             for doc, s in zip(chunk.column("doc_id").to_pylist(), shingle_sets(chunk.column("text"), words), strict=True):
@@ -153,7 +155,7 @@ def _prefixes(docs: DataFrame, hot: np.ndarray, buckets: int, words: int, percen
         if held:
             yield flush()
 
-    return common.doc_key(docs).mapInArrow(run, "bucket long, h binary, doc binary, size binary")
+    return common.doc_key(docs).mapInArrow(run, "bucket long, h binary, doc binary, size binary, place binary")
 
 
 def _meet(prefixes: DataFrame, percent: int) -> DataFrame:
@@ -161,19 +163,24 @@ def _meet(prefixes: DataFrame, percent: int) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
-        h, doc, size = (np.concatenate([np.frombuffer(unpack(x), t) for x in table[c].to_pylist()]) for c, t in (("h", "u8"), ("doc", "<i8"), ("size", "<u4")))
-        order = np.lexsort((doc, size, h))
-        h, doc, size = h[order], doc[order], size[order].astype(np.int64)
-        new = np.flatnonzero(np.diff(h, prepend=~h[:1]))
+        h, doc, size, place = (np.concatenate([np.frombuffer(unpack(x), t) for x in table[c].to_pylist()]) for c, t in (("h", "u8"), ("doc", "<i8"), ("size", "<u4"), ("place", "<u4")))
+        size, left = size.astype(np.int64), size.astype(np.int64) - place  # what can still be shared from this shingle on
+        # where this is the first shared shingle, no partner is larger than this, and some partner may have this least size
+        top = (100 + percent) * left // percent - size
+        use = 100 * top >= percent * size
+        order = np.flatnonzero(use)[np.lexsort((doc[use], size[use], h[use]))]
+        h, doc, size, left, top = h[order], doc[order], size[order], left[order], top[order]
+        new = np.flatnonzero(np.diff(h, prepend=~h[:1])) if len(h) else np.zeros(0, np.int64)
         count = np.diff(np.append(new, len(h)))
         group = np.repeat(np.arange(len(new)), count)
         large = count > SMALL
+        fits = lambda a, b: (100 * size[a] >= percent * size[b]) & enough(np.minimum(left[a], left[b]), size[a], size[b], percent)
         xs, ys = [], []
         for step in range(1, SMALL):  # pairs at each distance within the small tiles, vectorised over all of them
             a = np.flatnonzero((group[:-step] == group[step:]) & ~large[group[:-step]]) if len(group) > step else np.zeros(0, np.int64)
             if not len(a):
                 break
-            a = a[100 * size[a] >= percent * size[a + step]]
+            a = a[fits(a, a + step)]
             xs.append(doc[a])
             ys.append(doc[a + step])
         member = np.flatnonzero(large[group])
@@ -231,17 +238,33 @@ def _verify(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "sx", "sy").mapInArrow(run, "u long, v long")
 
 
+def _sieve(ids: DataFrame) -> np.ndarray:
+    """SIEVE_BITS bits, those set that the listed ids hash to; the words that are not zero come to the driver."""
+    place = F.pmod(F.xxhash64("node"), F.lit(SIEVE_BITS))
+    words = ids.select(place.alias("at")).selectExpr("shiftright(at, 6) AS w", "shiftleft(1L, CAST(at & 63 AS INT)) AS b")
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(SIEVE_BITS >> 6, np.int64)
+    out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
 def _arrays(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """node and shingles (sorted hashes) of the documents whose id is listed and whose digest is the node's."""
+    """node and shingles (sorted hashes) of the documents whose id is listed and whose digest is the node's. The texts stay
+    where they are read: a sieve of bounded size lets through what is listed (and some more, which the join removes)."""
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in kernels.chunks(batches):
-            found = shingle_sets(chunk.column("text"), words)
-            keep = pa.array([digest(s) == key for s, key in zip(found, chunk.column("key").to_pylist(), strict=True)])
-            yield pa.record_batch([chunk.column("node"), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "shingles"]).filter(keep)
+        bits = sieve.value
+        for batch in batches:
+            at = batch.column("at").to_numpy().astype(np.uint64)
+            listed = batch.filter(pa.array((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0))
+            for chunk in kernels.chunks(iter([listed])):
+                found = shingle_sets(chunk.column("text"), words)
+                yield pa.record_batch([chunk.column("doc_id"), pa.array([digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "own", "shingles"])
 
-    listed = common.doc_key(docs).join(ids, F.col("doc_id") == F.col("node")).select("node", "key", "text")
-    return listed.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    rows = common.doc_key(docs).where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE_BITS)).alias("at"))
+    found = rows.mapInArrow(run, "node long, own binary, shingles binary")
+    return found.join(ids, "node").where("own = key").select("node", "shingles").dropDuplicates(["node"])
 
 
 def _tiles(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -287,6 +310,7 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     chosen = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("key"))
     classes = common.materialise(chosen.join(chosen.groupBy("key").agg(F.min("doc_id").alias("node")), "key").select("doc_id", "key", "node"), "classes")
     nodes = rows.join(classes.where("doc_id = node").select("node", F.col("key").alias("own")), (F.col("doc_id") == F.col("node")) & (F.col("key") == F.col("own"))).select("node", "key", "n", "bits").dropDuplicates(["node"])
+    nodes = common.materialise(nodes.select("node", "key", "n", "bits"), "nodes")
     met = common.materialise(_meet(_prefixes(docs, hot_shingles(docs, words), buckets, words, percent), percent), "met")
     of = lambda c: classes.select(F.col("doc_id").alias(c), F.col("node").alias(f"node_{c}"))
     pairs = met.where("pair").select("x", "y").join(of("x"), "x").join(of("y"), "y").where("node_x <> node_y")
@@ -294,7 +318,7 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     likely = common.materialise(_weigh(pairs, nodes, percent), "likely")
     members = common.materialise(met.where("not pair").join(of("y"), "y").select(F.col("x").alias("tile"), F.col("node_y").alias("node")).distinct(), "tiles")
     ids = likely.select(F.col("x").alias("node")).union(likely.select("y")).union(members.select("node")).distinct()
-    arrays = common.materialise(_arrays(docs, ids.join(classes.where("doc_id = node").select("node", "key"), "node"), words), "arrays")
+    arrays = common.materialise(_arrays(docs, ids.join(nodes.select("node", "key"), "node"), words), "arrays")
     first = likely.groupBy("y").agg(F.min("x").alias("x"))
     edges = common.materialise(_verify(first.select("x", "y"), arrays, percent), "links")
     found = components(edges)
