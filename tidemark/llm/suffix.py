@@ -23,18 +23,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm import common, kernels
+from tidemark.llm import bpe, common, kernels
 
 WINDOW = 50
 GRAM = 16
-BUCKET_TEXT = 4 << 20
+BUCKET_TEXT = 1 << 20
+BUCKET_ANCHOR_TEXT = 16 << 20
+PACK_TEXT = 48 << 20
 PACK_ANCHORS = 1 << 20
 _LAST = (1 << 63) - 1
 _LOW = np.uint64(0xFFFFFFFF)
+_SHORT = np.uint64(0xFFFFFFFFFFFF)  # what is sent of an anchor's hash; more anchors may only become candidates
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -64,6 +67,31 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: i
     return pos, hashes[pos], windows[first], windows[last], starts[first]
 
 
+def _sorted_by_words(words: np.ndarray, mask: np.ndarray, at: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
+    """Order of the suffixes by eight bytes at a time; each step only takes those that are still equal to a neighbour."""
+    order = np.argsort(words[at] & mask[np.minimum(left, 8)], kind="stable")
+    live = np.arange(len(at))  # places in the order that are not settled
+    rank = np.zeros(len(at), np.int64)  # start of each place's run of equals
+    for j in range(0, depth, 8):
+        here = order[live]
+        key = words[at[here] + j] & mask[np.clip(left[here] - j, 0, 8)]
+        if j:
+            inner = np.lexsort((key, rank[live]))
+            here, key = here[inner], key[inner]
+            order[live] = here
+        run = rank[live]
+        new = np.append(True, (run[1:] != run[:-1]) | (key[1:] != key[:-1]))
+        starts = np.flatnonzero(new)
+        size = np.diff(np.append(starts, len(live)))
+        rank[live] = np.repeat(live[starts], size)
+        live = live[np.repeat(size > 1, size)]
+        if not len(live):
+            return order
+    # equal bytes: the shorter suffix comes first
+    order[live] = order[live][np.lexsort((left[order[live]], rank[live]))]
+    return order
+
+
 def suffix_array(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     """Positions of all suffixes, ordered by their first `depth` bytes at least; a suffix ends where its string does.
 
@@ -81,21 +109,21 @@ def suffix_array(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     m = len(joined)
     following = np.append(joined[1:], 0)
     stop = np.flatnonzero(joined != following)  # ends of runs of one symbol
-    run_end = stop[np.minimum(np.searchsorted(stop, np.arange(m)), len(stop) - 1)]
+    run_end = np.append(np.repeat(stop, np.diff(stop, prepend=-1)), np.full(m - 1 - stop[-1], stop[-1]))
     smaller = joined[run_end] < following[run_end]
     smaller[joined == 0] = True
     end_at = np.flatnonzero(joined == 0)
     direct = np.flatnonzero(smaller & (joined > 0))
-    left = end_at[np.searchsorted(end_at, direct)] - direct
-    padded = np.concatenate([joined, np.zeros(depth + 16, np.int32)])
-    keys = [np.minimum(left, depth)]
-    for j in range(math.ceil(depth / 8) - 1, -1, -1):
-        word = np.zeros(len(direct), np.uint64)
-        for b in range(8 * j, 8 * j + 8):
-            inside = b < np.minimum(left, depth)
-            word = word << np.uint64(8) | np.where(inside, padded[direct + b] - 1, 0).astype(np.uint64)
-        keys.append(word)
-    direct = direct[np.lexsort(keys)]
+    own_end = np.repeat(end_at, np.diff(end_at, prepend=-1))
+    left = own_end[direct] - direct
+    raw = np.concatenate([np.maximum(joined - 1, 0), np.zeros(depth + 16, np.int32)]).astype(np.uint64)
+    words = np.zeros(m + depth, np.uint64)  # the eight bytes from each place on
+    for b in range(8):
+        words = words << np.uint64(8) | raw[b : b + m + depth]
+    left = np.minimum(left, depth)
+    mask = np.array([0xFFFFFFFFFFFFFFFF << 8 * (8 - k) & 0xFFFFFFFFFFFFFFFF for k in range(9)], np.uint64)
+    if len(direct):
+        direct = direct[_sorted_by_words(words, mask, direct, left, depth)]
     head = joined[direct]
     parts: list[list[np.ndarray]] = [[] for _ in range(257)]
 
@@ -127,20 +155,26 @@ def suffix_array(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
             out.append(sorted_ones)
             induce(sorted_ones, symbol)
     found = np.concatenate(out)
-    return found - np.searchsorted(end_at, found)
+    return found - np.repeat(np.arange(len(end_at)), np.diff(end_at, prepend=-1))[found]
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """Common prefix of each suffix with its predecessor in the order, at most `depth`; all must have depth bytes."""
-    out = np.zeros(len(order), np.int32)
-    a, b = order[:-1], order[1:]
-    live = np.arange(len(a))
-    for k in range(depth):
-        live = live[text[a[live] + k] == text[b[live] + k]]
+    out = np.zeros(len(order), np.int64)
+    raw = np.concatenate([text, np.zeros(depth + 16, np.uint8)]).astype(np.uint64)
+    words = np.zeros(len(text) + depth, np.uint64)
+    for b in range(8):
+        words |= raw[b : b + len(words)] << np.uint64(8 * b)
+    live = np.arange(1, len(order))
+    for j in range(0, depth, 8):
+        differ = words[order[live] + j] ^ words[order[live - 1] + j]
+        lowest = differ & (~differ + np.uint64(1))  # the lowest bit is in the first byte that differs
+        same = np.where(differ == 0, 8, (np.bitwise_count(lowest - np.uint64(1)) >> 3).astype(np.int64))
+        out[live] += same
+        live = live[differ == 0]
         if not len(live):
             break
-        out[live + 1] += 1
-    return out
+    return np.minimum(out, depth)
 
 
 def repeated_windows(text: np.ndarray, ends: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
@@ -167,57 +201,97 @@ def _union(spans: np.ndarray) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Internal key columns (d, th) beside doc_id and text: d orders documents, th tells repeated ids apart."""
+    """Internal key columns (d, v) beside doc_id and text: d orders documents, v tells texts under one id apart."""
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    return docs.select(d.alias("d"), F.xxhash64("text").alias("th"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(d.alias("d"), _version("text").alias("v"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _version(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(1 << 16)).cast("int")
+
+
+def _groups(*keys: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal keys in sorted columns."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
+
+
+def _spread(starts: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.repeat(values, np.diff(np.append(starts, n)))
+
+
+def _several(starts: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Whether a row's group holds different documents."""
+    return _spread(starts, np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts), len(d)) if len(d) else np.zeros(0, bool)
 
 
-def _by_doc(d: np.ndarray, th: np.ndarray, values: np.ndarray, dtype: str, names: list[str]) -> pa.RecordBatch:
-    """One row per document with its values as bytes."""
-    order = np.lexsort((th, d))
-    d, th, values = d[order], th[order], values[order]
-    new = np.flatnonzero((np.diff(d, prepend=d[:1] - 1) != 0) | (np.diff(th, prepend=th[:1]) != 0)) if len(d) else np.zeros(0, np.int64)
-    cells = [v.astype(dtype).tobytes() for v in np.split(values, new[1:])] if len(d) else []
-    return pa.record_batch([pa.array(d[new]), pa.array(th[new]), pa.array(cells, pa.binary())], names)
+def _pack(values: np.ndarray, dtype: str, differences: bool = False) -> bytes:
+    """Compressed byte planes of a column."""
+    if differences:
+        values = np.diff(values, prepend=values[:1] * 0)
+    planes = np.ascontiguousarray(values.astype(dtype).view(np.uint8).reshape(len(values), -1).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-_SENT = "bucket long, d long, th long, a binary, b binary, c binary, e binary"
+def _unpack(cell: bytes, dtype: str, differences: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(cell), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    values = np.ascontiguousarray(planes.T).view(dtype).ravel()
+    return np.cumsum(values) if differences else values
+
+
+_SENT = "bucket long, a binary, b binary, c binary, e binary, f binary, g binary"
+_COLUMNS = [x.split(" ")[0] for x in _SENT.split(", ")]
 
 
 def _sent(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 3 + [pa.binary()] * 4
-    return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "d", "th", "a", "b", "c", "e"])
+    kinds = [pa.int64()] + [pa.binary()] * 6
+    return pa.record_batch([pa.array([r[k] if k < len(r) else None for r in rows], kind) for k, kind in enumerate(kinds)], _COLUMNS)
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _positions(d: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    """(d, at): one row per document with the positions of its repeated anchors."""
+    order = np.lexsort((pos, d))
+    d, pos = d[order], pos[order]
+    new = _groups(d)
+    cells = [v.astype("<u4").tobytes() for v in np.split(pos, new[1:])] if len(d) else []
+    return pa.record_batch([pa.array(d[new]), pa.array(cells, pa.binary())], ["d", "at"])
 
 
 def _hits(rows: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
-    """(d, th, at): positions (u4) of the anchors whose string occurs in several documents."""
+    """(d, at): positions (u4) of the anchors whose string occurs in several documents. Texts under one id share their rows here,
+    which only makes more candidates."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, d, th, pos = (np.concatenate([x[k] for x in held]) for k in range(4))
+            h, d, pos = (np.concatenate([x[k] for x in held]) for k in range(3))
             held.clear()
             order = np.argsort(h, kind="stable")
-            h, d, th, pos = h[order], d[order], th[order], pos[order]
-            new = np.flatnonzero(np.diff(h, prepend=~h[:1]))
-            several = np.repeat(np.minimum.reduceat(d, new) != np.maximum.reduceat(d, new), np.diff(np.append(new, len(h))))
-            direct = _by_doc(d[several], th[several], pos[several], "<u4", ["d", "th", "a"])
-            yield _sent([(-1, *r, None, None, None) for r in zip(*(c.to_pylist() for c in direct.columns), strict=True)])
+            h, d, pos = h[order], d[order], pos[order]
+            new = _groups(h)
+            several = _several(new, d)
+            done = _positions(d[several], pos[several])
+            # settled rows are dealt by their document, so that they form no group of their own
+            yield _sent([(-1 - i % buckets, None, at, None, None, None, i.to_bytes(8, "little", signed=True)) for i, at in zip(done.column("d").to_pylist(), done.column("at").to_pylist(), strict=True)])
             keep = ~several
             keep[new] = True
-            h, d, th, pos = h[keep], d[keep], th[keep], pos[keep]
-            bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((pos, th, d, bucket))
-            h, d, th, pos, bucket = h[order], d[order], th[order], pos[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            bounds = np.append(cuts, len(h)).tolist()
-            yield _sent([(bucket[a].item(), None, None, h[a:b].tobytes(), d[a:b].tobytes(), th[a:b].tobytes(), pos[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+            h, d, pos = h[keep], d[keep], pos[keep]
+            bucket = _bucket(h, buckets)
+            order = np.lexsort((pos, d, bucket))
+            h, d, pos, bucket = h[order] & _SHORT, d[order], pos[order], bucket[order]
+            bounds = np.append(_groups(bucket), len(h)).tolist()
+            yield _sent([(int(bucket[a]), _pack(h[a:b], "<u8"), _pack(pos[a:b], "<u4"), _pack(d[a:b], "<i8", True)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
 
         for chunk in kernels.chunks(batches):
             data, offsets = kernels.utf8(chunk.column("text"))
             pos, h, _, _, row = anchors(data, offsets, window, gram)
-            held.append((h, chunk.column("d").to_numpy()[row], chunk.column("th").to_numpy()[row], pos - offsets[row]))
+            held.append((h, chunk.column("d").to_numpy()[row], pos - offsets[row]))
             waiting += len(h)
             if waiting >= PACK_ANCHORS:
                 yield from flush()
@@ -227,111 +301,119 @@ def _hits(rows: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         if table["bucket"][0].as_py() < 0:
-            return table.select(["d", "th", "a"]).rename_columns(["d", "th", "at"])
-        h, d, th, pos = (np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()]) for c, t in (("a", "u8"), ("b", "i8"), ("c", "i8"), ("e", "<u4")))
+            return pa.table([pa.array([int.from_bytes(x, "little", signed=True) for x in table["g"].to_pylist()], pa.int64()), table["b"]], ["d", "at"])
+        h, pos, d = (np.concatenate([_unpack(x, t, k) for x in table[c].to_pylist()]) for c, t, k in (("a", "<u8", False), ("b", "<u4", False), ("c", "<i8", True)))
         order = np.argsort(h, kind="stable")
-        new = np.flatnonzero(np.diff(h[order], prepend=~h[order][:1]))
-        d, th, pos = d[order], th[order], pos[order]
-        several = np.repeat(np.minimum.reduceat(d, new) != np.maximum.reduceat(d, new), np.diff(np.append(new, len(h))))
-        return pa.Table.from_batches([_by_doc(d[several], th[several], pos[several], "<u4", ["d", "th", "at"])])
+        h, d, pos = h[order], d[order], pos[order]
+        several = _several(_groups(h), d)
+        return pa.Table.from_batches([_positions(d[several], pos[several])])
 
-    sent = rows.select("d", "th", "text").mapInArrow(scan, _SENT)
-    # rows that are settled already are dealt by their document, so that they form no group of their own
-    spread = F.when(F.col("bucket") < 0, -1 - F.pmod(F.col("d"), F.lit(buckets))).otherwise(F.col("bucket"))
-    return sent.withColumn("bucket", spread).groupBy("bucket").applyInArrow(meet, "d long, th long, at binary")
+    return rows.select("d", "text").mapInArrow(scan, _SENT).groupBy("bucket").applyInArrow(meet, "d long, at binary")
+
+
+def _span_rows(d: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """(d, v, spans): one row per text with its merged (start, end) pairs (i8)."""
+    order = np.lexsort((a, v, d))
+    d, v, spans = d[order], v[order], np.stack([a[order], b[order]], 1)
+    new = _groups(d, v)
+    cells = [_union(x).astype("<i8").tobytes() for x in np.split(spans, new[1:])] if len(d) else []
+    return pa.record_batch([pa.array(d[new], pa.int64()), pa.array(v[new], pa.int32()), pa.array(cells, pa.binary())], ["d", "v", "spans"])
+
+
+def _least(h1: np.ndarray, h2: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by context (128 bits of hash) and document; the group starts, and each ordered row's smallest document."""
+    order = np.lexsort((d, h2, h1))
+    starts = _groups(h1[order], h2[order])
+    return order, starts, _spread(starts, d[order][starts], len(d))
 
 
 def _spans(rows: DataFrame, hits: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
-    """(d, th, spans): (start, end) pairs (i8) of the removed bytes, not yet merged."""
-    listed = hits.groupBy("d", "th").agg(F.collect_list("at").alias("at"))
-    wanted = rows.join(listed, ["d", "th"]).select("d", "th", "text", "at")
+    """(d, v, spans): (start, end) pairs (i8) of the removed bytes, merged within a row."""
+    listed = hits.groupBy("d").agg(F.collect_list("at").alias("at"))
+    wanted = rows.join(listed, "d").select("d", "v", "doc_id", "text", "at")  # the columns of the last join too, so that one shuffle of the texts serves both
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts: dict[bytes, list[tuple[int, int, int, int]]] = {}
-        waiting = 0
-        pack = zstandard.ZstdCompressor(level=1).compress
+        held, texts, waiting, length = [], [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            gone, by_bucket = [], {}
-            for context, found in contexts.items():
-                least = min(found)[0]
-                gone.extend((d, th, at, at + len(context)) for d, th, at, _ in found if d > least)
-                own = [f for f in found if f[0] == least]
-                by_bucket.setdefault(own[0][3], []).append((context, own))
-            contexts.clear()
-            if gone:
-                array = np.array(gone, np.int64)
-                direct = _by_doc(array[:, 0], array[:, 1], array[:, 2:], "<i8", ["d", "th", "a"])
-                yield _sent([(-1, *r, None, None, None) for r in zip(*(c.to_pylist() for c in direct.columns), strict=True)])
+            h1, h2, d, v, at, start, size, bucket = (np.concatenate([x[k] for x in held]) for k in range(8))
+            text = np.concatenate(texts)
+            held.clear()
+            texts.clear()
+            order, _, least = _least(h1, h2, d)
+            d, v, at, start, size, bucket, h1, h2 = d[order], v[order], at[order], start[order], size[order], bucket[order], h1[order], h2[order]
+            gone = d > least
+            done = _span_rows(d[gone], v[gone], at[gone], at[gone] + size[gone])
+            yield _sent([(-1 - i % buckets, None, spans, None, None, None, i.to_bytes(8, "little", signed=True) + k.to_bytes(4, "little")) for i, k, spans in zip(*(c.to_pylist() for c in done.columns), strict=True)])
+            kept = np.flatnonzero(~gone)
+            kept = kept[np.lexsort((at[kept], d[kept], bucket[kept]))]
+            bounds = np.append(_groups(bucket[kept]), len(kept)).tolist()
             out = []
-            for bucket, listed in by_bucket.items():
-                sizes = np.array([len(c) for c, _ in listed], "<u4")
-                number = np.repeat(np.arange(len(listed), dtype="<u4"), [len(o) for _, o in listed])
-                where = np.array([f[:3] for _, o in listed for f in o], "<i8")
-                out.append((bucket, None, None, pack(b"".join(c for c, _ in listed)), sizes.tobytes(), number.tobytes(), where.tobytes()))
+            for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+                k = kept[i:j]
+                blob = zstandard.ZstdCompressor(level=3).compress(bpe.ragged(text, start[k], size[k]).tobytes())
+                out.append((int(bucket[k[0]]), blob, _pack(size[k], "<u4"), _pack(d[k], "<i8", True), _pack(at[k], "<u4"), _pack(v[k], "<u2")))
             yield _sent(out)
 
         for chunk in kernels.chunks(batches):
             data, offsets = kernels.utf8(chunk.column("text"))
             pos, h, first, last, row = anchors(data, offsets, window, gram)
             known = [np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in chunk.column("at").to_pylist()]
-            marked = np.concatenate([k + o for k, o in zip(known, offsets[:-1].tolist(), strict=True)]) if known else np.zeros(0, np.int64)
+            marked = np.concatenate([k + o for k, o in zip(known, offsets[:-1].tolist(), strict=True)])
             use = np.isin(pos, marked)
-            raw = data.tobytes()
-            bucket = ((h[use] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64).tolist()
-            d, th = chunk.column("d").to_numpy()[row[use]].tolist(), chunk.column("th").to_numpy()[row[use]].tolist()
-            local = (first[use] - offsets[row[use]]).tolist()
-            for x, a, b, at, k in zip(bucket, first[use].tolist(), (last[use] + window).tolist(), local, range(len(local)), strict=True):
-                contexts.setdefault(raw[a:b], []).append((d[k], th[k], at, x))
-            waiting += len(local)
-            if waiting >= PACK_ANCHORS // 4:
+            if not use.any():
+                continue
+            a, b, row = first[use], last[use] + window, row[use]
+            h1, h2 = (kernels.span_hash(f(data), a, b) for f in (kernels.prefix_hash, kernels.second_prefix))
+            held.append((h1, h2, chunk.column("d").to_numpy()[row], chunk.column("v").to_numpy()[row], a - offsets[row], a + length, b - a, _bucket(h[use], buckets)))
+            texts.append(data)
+            waiting, length = waiting + len(a), length + len(data)
+            if waiting >= PACK_ANCHORS // 2 or length >= PACK_TEXT:
                 yield from flush()
-                waiting = 0
+                waiting = length = 0
         if waiting:
             yield from flush()
 
     def settle(table: pa.Table) -> pa.Table:
         if table["bucket"][0].as_py() < 0:
-            return table.select(["d", "th", "a"]).rename_columns(["d", "th", "spans"])
-        unpack = zstandard.ZstdDecompressor().decompress
-        contexts: dict[bytes, list[tuple[int, int, int]]] = {}
-        for blob, sizes, number, where in zip(*(table[c].to_pylist() for c in "abce"), strict=True):
-            raw, ends = unpack(blob), np.cumsum(np.frombuffer(sizes, "<u4")).tolist()
-            own = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-            for k, f in zip(np.frombuffer(number, "<u4").tolist(), np.frombuffer(where, "<i8").reshape(-1, 3).tolist(), strict=True):
-                contexts.setdefault(own[k], []).append(tuple(f))
-        names = list(contexts)
-        ends = np.cumsum([len(c) for c in names])
-        owner = np.array([min(contexts[c])[0] for c in names])
-        text = np.frombuffer(b"".join(names), np.uint8)
-        windows = repeated_windows(text, ends, owner, window)
-        string = np.searchsorted(ends, windows, "right")
-        cuts = np.flatnonzero(np.diff(string, prepend=-1))
-        inner = {k: w - (ends[k] - len(names[k])) for k, w in zip(string[cuts].tolist(), np.split(windows, cuts[1:]), strict=True)} if len(windows) else {}
-        gone = []
-        for k, context in enumerate(names):
-            found, least = contexts[context], owner[k]
-            whole = [(d, th, at, at + len(context)) for d, th, at in found if d > least]
-            gone.extend(whole)
-            if k in inner:
-                pieces = _union(np.stack([inner[k], inner[k] + window], 1)).tolist()
-                gone.extend((d, th, at + a, at + b) for d, th, at in found if d == least for a, b in pieces)
-        array = np.array(gone, np.int64).reshape(-1, 4)
-        return pa.Table.from_batches([_by_doc(array[:, 0], array[:, 1], array[:, 2:], "<i8", ["d", "th", "spans"])])
-
-    sent = wanted.mapInArrow(cut, _SENT)
-    spread = F.when(F.col("bucket") < 0, -1 - F.pmod(F.col("d"), F.lit(buckets))).otherwise(F.col("bucket"))
-    return sent.withColumn("bucket", spread).groupBy("bucket").applyInArrow(settle, "d long, th long, spans binary")
+            keys = table["g"].to_pylist()
+            return pa.table([pa.array([int.from_bytes(x[:8], "little", signed=True) for x in keys], pa.int64()), pa.array([int.from_bytes(x[8:], "little") for x in keys], pa.int32()), table["b"]], ["d", "v", "spans"])
+        expand = zstandard.ZstdDecompressor().decompress
+        text = np.frombuffer(b"".join(expand(x) for x in table["a"].to_pylist()), np.uint8)
+        size, d, at, v = (np.concatenate([_unpack(x, t, k) for x in table[c].to_pylist()]).astype(np.int64) for c, t, k in (("b", "<u4", False), ("c", "<i8", True), ("e", "<u4", False), ("f", "<u2", False)))
+        start = np.cumsum(size) - size
+        h1, h2 = (kernels.span_hash(f(text), start, start + size) for f in (kernels.prefix_hash, kernels.second_prefix))
+        order, starts, least = _least(h1, h2, d)
+        d, v, at, size, start = d[order], v[order], at[order], size[order], start[order]
+        # the array holds each distinct context once; its owner is the smallest document
+        ends = np.cumsum(size[starts])
+        windows = repeated_windows(bpe.ragged(text, start[starts], size[starts]), ends, d[starts], window)
+        context = np.searchsorted(ends, windows, "right")
+        inside = windows - (ends[context] - size[starts][context])
+        # windows of a context that go, for each row that holds it on behalf of its owner
+        count = np.bincount(context, minlength=len(starts))
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(d))))
+        own = np.flatnonzero(d == least)
+        picked = bpe.ragged(inside, (np.cumsum(count) - count)[group[own]], count[group[own]])
+        who = np.repeat(own, count[group[own]])
+        gone = np.flatnonzero(d > least)
+        a = np.append(at[gone], at[who] + picked)
+        b = np.append(at[gone] + size[gone], at[who] + picked + window)
+        rows_ = np.append(gone, who)
+        return pa.Table.from_batches([_span_rows(d[rows_], v[rows_], a, b)])
+
+    return wanted.mapInArrow(cut, _SENT).groupBy("bucket").applyInArrow(settle, "d long, v int, spans binary")
 
 
 def with_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """d, th, doc_id, text and spans (array of binary pairs, null where nothing goes) of every row."""
+    """d, v, doc_id, text and spans (array of binary pairs, null where nothing goes) of every row."""
     rows = _keyed(docs)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, math.ceil(size / BUCKET_TEXT))
-    spans = _spans(rows, _hits(rows, buckets, window, gram), buckets, window, gram)
-    listed = spans.groupBy("d", "th").agg(F.collect_list("spans").alias("spans"))
-    return rows.join(listed, ["d", "th"], "left")
+    hits = _hits(rows, max(1, math.ceil(size / BUCKET_ANCHOR_TEXT)), window, gram)
+    spans = _spans(rows, hits, max(1, math.ceil(size / BUCKET_TEXT)), window, gram)
+    listed = spans.groupBy("d").agg(F.collect_list(F.struct("v", "spans")).alias("found"))
+    own = F.transform(F.filter("found", lambda x: x["v"] == F.col("v")), lambda x: x["spans"])
+    return rows.join(listed, "d", "left").withColumn("spans", own).drop("found")
 
 
 def _removed(cell: list[bytes] | None) -> np.ndarray:
@@ -359,17 +441,17 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with the removed bytes cut out of their texts; all columns stay, and n_chars (where there is one) follows."""
-    found = with_spans(docs, window).where("spans is not null").select("d", "th", "text", "spans").dropDuplicates(["d", "th"])
+    found = with_spans(docs, window).where("size(spans) > 0").select("d", "v", "text", "spans").dropDuplicates(["d", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws = batch.column("text").cast(pa.binary()).to_pylist()
             texts = [_kept(raw, _removed(cell)).decode("utf-8", "ignore") for raw, cell in zip(raws, batch.column("spans").to_pylist(), strict=True)]
-            yield pa.record_batch([batch.column("d"), batch.column("th"), pa.array(texts, pa.string())], ["d", "th", "cut_text"])
+            yield pa.record_batch([batch.column("d"), batch.column("v"), pa.array(texts, pa.string())], ["d", "v", "cut_text"])
 
-    cut = found.mapInArrow(run, "d long, th long, cut_text string")
+    cut = found.mapInArrow(run, "d long, v int, cut_text string")
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    joined = docs.alias("o").join(cut.alias("c"), (d == F.col("c.d")) & (F.xxhash64("o.text") == F.col("c.th")), "left")
+    joined = docs.alias("o").join(cut.alias("c"), (d == F.col("c.d")) & (_version("o.text") == F.col("c.v")), "left")
     text = F.coalesce(F.col("c.cut_text"), F.col("o.text"))
     own = {"text": text, "n_chars": F.when(F.col("c.d").isNull(), F.col("o.n_chars")).otherwise(F.char_length(text)).cast(T.LongType())} if "n_chars" in docs.columns else {"text": text}
     return joined.select(*(own[c].alias(c) if c in own else F.col(f"o.`{c}`") for c in docs.columns))
