@@ -265,6 +265,7 @@ def _positions(d: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
 def _hits(rows: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
     """(d, at): positions (u4) of the anchors whose string occurs in several documents. Texts under one id share their rows here,
     which only makes more candidates."""
+    shards = 4 * buckets
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting = [], 0
@@ -299,16 +300,32 @@ def _hits(rows: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
         if waiting:
             yield from flush()
 
+    def packed(d: np.ndarray, pos: np.ndarray) -> pa.Table:
+        """One row per shard of documents, so that the rows do not grow with buckets times documents."""
+        shard = d % shards
+        order = np.lexsort((pos, d, shard))
+        d, pos, shard = d[order], pos[order], shard[order]
+        bounds = np.append(_groups(shard), len(d)).tolist()
+        spans = list(zip(bounds[:-1], bounds[1:], strict=True))
+        return pa.table([pa.array([int(shard[i]) for i, _ in spans], pa.int64()), pa.array([_pack(d[i:j], "<i8", True) for i, j in spans], pa.binary()), pa.array([_pack(pos[i:j], "<u4") for i, j in spans], pa.binary())], ["shard", "d", "at"])
+
     def meet(table: pa.Table) -> pa.Table:
         if table["bucket"][0].as_py() < 0:
-            return pa.table([pa.array([int.from_bytes(x, "little", signed=True) for x in table["g"].to_pylist()], pa.int64()), table["b"]], ["d", "at"])
+            cells = [np.frombuffer(x, "<u4") for x in table["b"].to_pylist()]
+            d = np.array([int.from_bytes(x, "little", signed=True) for x in table["g"].to_pylist()], np.int64)
+            return packed(np.repeat(d, [len(c) for c in cells]), np.concatenate(cells))
         h, pos, d = (np.concatenate([_unpack(x, t, k) for x in table[c].to_pylist()]) for c, t, k in (("a", "<u8", False), ("b", "<u4", False), ("c", "<i8", True)))
         order = np.argsort(h, kind="stable")
         h, d, pos = h[order], d[order], pos[order]
         several = _several(_groups(h), d)
-        return pa.Table.from_batches([_positions(d[several], pos[several])])
+        return packed(d[several], pos[several])
+
+    def spread(table: pa.Table) -> pa.Table:
+        d, pos = (np.concatenate([_unpack(x, t, k) for x in table[c].to_pylist()]) for c, t, k in (("d", "<i8", True), ("at", "<u4", False)))
+        return pa.Table.from_batches([_positions(d, pos)])
 
-    return rows.select("d", "text").mapInArrow(scan, _SENT).groupBy("bucket").applyInArrow(meet, "d long, at binary")
+    met = rows.select("d", "text").mapInArrow(scan, _SENT).groupBy("bucket").applyInArrow(meet, "shard long, d binary, at binary")
+    return met.groupBy("shard").applyInArrow(spread, "d long, at binary")
 
 
 def _span_rows(d: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
