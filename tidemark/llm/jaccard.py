@@ -33,7 +33,7 @@ WORDS = 5
 PERCENT = 80
 SMALL = 96
 HOT_SHINGLES = 200_000
-HOT_IN_CHUNK = 4
+HOT_IN_CHUNK = 2
 BUCKET_TEXT = 4 << 20
 PACK_SHINGLES = 1 << 20
 TILE_ROWS = 4096
@@ -95,8 +95,9 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return common.doc_key(docs).mapInArrow(run, "doc_id long, n long, key binary, bits binary")
 
 
-def hot_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """Sorted hashes of at most HOT_SHINGLES shingles that many documents share, by the counts of chunks where several do."""
+def hot_shingles(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of at most HOT_SHINGLES shingles that many documents share, by the counts of chunks where several do, and their
+    places in the order from the rarest to the most frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in kernels.chunks(batches):
@@ -106,16 +107,20 @@ def hot_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
             yield pa.record_batch([pa.array(h[many].view(np.int64)), pa.array(n[many])], ["h", "n"])
 
     counted = common.doc_key(docs).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "h").limit(HOT_SHINGLES).toPandas()
-    return np.sort(top["h"].to_numpy(np.int64).view(np.uint64))
+    top = counted.orderBy(F.desc("n"), "h").limit(HOT_SHINGLES).toArrow()
+    h, n = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(h)
+    place = np.empty(len(h), np.int32)
+    place[np.lexsort((h, n))] = np.arange(len(h))
+    return h[order], place[order]
 
 
-def _prefixes(docs: DataFrame, hot: np.ndarray, buckets: int, words: int, percent: int) -> DataFrame:
+def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], buckets: int, words: int, percent: int) -> DataFrame:
     """Packed (shingle, document, size) of the prefixes of all non-empty sets, by bucket; copies within a pack count once."""
     known = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = known.value
+        hot, hotness = known.value
         pack = zstandard.ZstdCompressor(level=1).compress
         held: dict[bytes, tuple[int, int, np.ndarray]] = {}
         waiting = 0
@@ -144,8 +149,9 @@ def _prefixes(docs: DataFrame, hot: np.ndarray, buckets: int, words: int, percen
                 if key in held and held[key][0] <= doc:
                     continue
                 if len(hot):
-                    late = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
-                    s = np.concatenate([s[~late], s[late]])
+                    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+                    late = hot[at] == s
+                    s = np.concatenate([s[~late], s[late][np.argsort(hotness[at[late]])]])
                 first = s[: prefix_size(len(s), percent)]
                 waiting += len(first)
                 held[key] = (doc, len(s), first)
@@ -242,9 +248,9 @@ def _sieve(ids: DataFrame) -> np.ndarray:
     """SIEVE_BITS bits, those set that the listed ids hash to; the words that are not zero come to the driver."""
     place = F.pmod(F.xxhash64("node"), F.lit(SIEVE_BITS))
     words = ids.select(place.alias("at")).selectExpr("shiftright(at, 6) AS w", "shiftleft(1L, CAST(at & 63 AS INT)) AS b")
-    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(SIEVE_BITS >> 6, np.int64)
-    out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
+    out[rows["w"].to_numpy()] = rows["b"].to_numpy()
     return out.view(np.uint64)
 
 
@@ -267,9 +273,10 @@ def _arrays(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return found.join(ids, "node").where("own = key").select("node", "shingles").dropDuplicates(["node"])
 
 
-def _tiles(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _tiles(members: DataFrame, nodes: DataFrame, percent: int, best: bool) -> DataFrame:
     """Candidate pairs (x, y) of different components within the large tiles. A tile's rows are dealt to blocks, and blocks
-    of the same or the next band of sizes meet, so no task holds more than two blocks."""
+    of the same or the next band of sizes meet, so no task holds more than two blocks. With `best`, a document only names its most
+    promising partner in each other component of a block."""
     rows = members.join(nodes, "node").withColumn("band", F.floor(F.log("n") / F.lit(math.log(100 / percent))).cast("long"))
     sizes = rows.groupBy("tile", "band").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias("blocks"))
     rows = rows.join(sizes, ["tile", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
@@ -290,10 +297,22 @@ def _tiles(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             words = min(min(len(x) for x in t["bits"].to_pylist()) // 8 for t in (a, b))
             bits = [np.stack([fold(np.frombuffer(x, np.uint64), words) for x in t["bits"].to_pylist()]) for t in (a, b)]
             node, n, comp = ([t[c].to_numpy() for t in (a, b)] for c in ("node", "n", "component"))
-            for i in range(a.num_rows):
-                left = n[0][i] - np.bitwise_count(bits[0][i] & ~bits[1]).sum(1, dtype=np.int64)
-                right = n[1] - np.bitwise_count(bits[1] & ~bits[0][i]).sum(1, dtype=np.int64)
-                hit = np.flatnonzero(enough(np.minimum(left, right), n[0][i], n[1], percent) & (comp[1] != comp[0][i]))
+            now = None  # rows of one component meet the rows of all others, so copies that are joined cost nothing
+            for i in np.argsort(comp[0], kind="stable").tolist():
+                if comp[0][i] != now:
+                    now = comp[0][i]
+                    k = np.flatnonzero(comp[1] != now)
+                    far, sizes = bits[1][k], n[1][k]
+                if not len(k):
+                    continue
+                left = n[0][i] - np.bitwise_count(bits[0][i] & ~far).sum(1, dtype=np.int64)
+                right = sizes - np.bitwise_count(far & ~bits[0][i]).sum(1, dtype=np.int64)
+                room = np.minimum(left, right)
+                hit = np.flatnonzero(enough(room, n[0][i], sizes, percent))
+                if best:
+                    hit = hit[np.lexsort((-room[hit], comp[1][k[hit]]))]
+                    hit = hit[np.flatnonzero(np.append(True, np.diff(comp[1][k[hit]]) != 0))] if len(hit) else hit
+                hit = k[hit]
                 xs.append(np.full(len(hit), node[0][i]))
                 ys.append(node[1][hit])
         x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
@@ -326,13 +345,17 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     rest = likely.join(first, ["x", "y"], "left_anti").join(label("x"), "x", "left").join(label("y"), "y", "left").where("coalesce(cx, x) <> coalesce(cy, y)").select("x", "y")
     edges = edges.union(common.materialise(_verify(rest, arrays, percent), "links"))
     found = components(edges)
-    split = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_tiles = split.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("tile")
-    late = common.materialise(_tiles(split.join(open_tiles, "tile", "left_semi"), nodes.select("node", "n", "bits"), percent), "late")
-    late = late.join(likely, ["x", "y"], "left_anti")
-    if not late.isEmpty():
-        edges = edges.union(common.materialise(_verify(late, arrays, percent), "links"))
+    tried = likely
+    for best in (True, False):  # what the most promising partners join needs no further pairs; the second round takes all that are left
+        split = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        open_tiles = split.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("tile")
+        late = common.materialise(_tiles(split.join(open_tiles, "tile", "left_semi"), nodes.select("node", "n", "bits"), percent, best), "late")
+        new = late.join(tried, ["x", "y"], "left_anti")
+        if new.isEmpty():
+            continue
+        edges = edges.union(common.materialise(_verify(new, arrays, percent), "links"))
         found = components(edges)
+        tried = tried.select("x", "y").union(late)
     labels = classes.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(labels, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
