@@ -176,13 +176,15 @@ def perplexities(docs: DataFrame, model: Model, broadcast_grams: int = BROADCAST
     """doc_id, lang, n_chars and log_ppl (mean negative natural log probability, null for empty texts) of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     table = model.table
-    scored = common.materialise(model.log_probabilities(_distinct_grams(rows, table)), "logp")
+    wanted = common.materialise(_distinct_grams(rows, table).select("gram"), "wanted")  # one pass over the texts
+    scored = common.materialise(model.log_probabilities(wanted), "logp")
     if scored.count() > broadcast_grams:
         return _by_join(rows, table, scored)
-    frame = scored.toPandas()
-    keys = frame["gram"].to_numpy(np.int64)
+    frame = scored.toArrow()  # 16 bytes a row on the driver, where rows as objects would take many times that
+    keys = frame["gram"].to_numpy()
     order = np.argsort(keys)
-    known = docs.sparkSession.sparkContext.broadcast((keys[order], frame["logp"].to_numpy(np.float64)[order]))
+    known = docs.sparkSession.sparkContext.broadcast((keys[order], frame["logp"].to_numpy()[order]))
+    del frame, keys, order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, logs = known.value
