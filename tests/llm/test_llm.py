@@ -338,6 +338,39 @@ def test_filter_never_forgets():
     assert np.allclose(np.round(bloomlm.level_count(bloomlm.levels(np.array([1, 2, 100]))) / np.array([1, 2, 100]) - 1, 1), 0, atol=0.25)
 
 
+def test_filter_follows_the_input(spark, monkeypatch):
+    """Many n-grams a byte, with the former bound on the filter's size far below what they need: unseen bigrams stay unseen."""
+    monkeypatch.setattr(bloomlm, "FILTER_LIMIT", 1 << 12, raising=False)
+    rng = random.Random(17)
+    texts = {k: [f"{rng.randrange(300):x}" for _ in range(100)] for k in range(300)}
+    held = {k: zlib.crc32(str(k).encode()) % 10 == 0 for k in texts}
+    single, double = Counter(), Counter()
+    for k, t in texts.items():
+        if not held[k]:
+            single.update([*t, None])
+            double.update(zip([None, *t], [*t, None], strict=True))
+    quantised = lambda c: float(bloomlm.level_count(bloomlm.levels(np.array([c])))[0]) if c else 0.0
+    floor = sum(single.values()) + 0.1 * (len(single) + 1)
+    got = by_id(bloomlm.score(spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")))
+    off = []
+    for k, t in texts.items():
+        exact = 0.0
+        for v, w in zip([None, *t], [*t, None], strict=True):
+            context = quantised(single[v])
+            exact += math.log10(0.7 * (quantised(single[w]) + 0.1) / floor + 0.3 * min(quantised(double[v, w]), context) / max(context, 1.0))
+        if held[k]:
+            off.append((got[k]["score"] - exact) / (len(t) + 1))
+    assert len(off) >= 20 and abs(float(np.mean(off))) < 0.03
+
+
+def test_false_positives_do_not_grow():
+    rng = np.random.default_rng(3)
+    for n in (2_000, 200_000):
+        h, c = rng.integers(0, 1 << 64, n, np.uint64), rng.integers(1, 6, n)
+        other = bloomlm.probe(bloomlm.segment(h, c, bloomlm.segment_bits(c))[None, :], rng.integers(0, 1 << 64, 20_000, np.uint64))
+        assert (other > 0).mean() < 0.025
+
+
 # 10: WARC
 
 

@@ -1,11 +1,11 @@
 """Language-model scores from a log-frequency Bloom filter (operator 9).
 
-Documents are dealt to blocks by a hash of their id. Each block sends its distinct words (with their training counts, zero for
-words that only held-out texts have) and its training bigrams to buckets by hash; a bucket sums the counts, answers
-each block with the exact counts of its words, and builds its own segment of the filter: an n-gram with count c is stored under
-the levels 1 .. 1 + floor(log_BASE c), so that probing level after level until the first miss gives the quantised
-count. The segments together are broadcast; their size follows the corpus, FILTER_BITS_PER_BYTE of text, up to FILTER_LIMIT
-bytes. Beyond this bound the filter keeps every n-gram with a higher rate of false positives.
+Documents are dealt to blocks by a hash of their id. Each block sends its distinct words and bigrams (with their training counts, zero
+for those that only held-out texts have) to buckets by hash. A bucket sums the counts and builds its own segment of the filter: an
+n-gram with count c is stored under the levels 1 .. 1 + floor(log_BASE c), so that probing level after level until the first miss
+gives the quantised count. It answers each block with the exact counts of its words and with the levels that its segment gives
+the block's words and bigrams. A segment takes FILTER_BITS_PER_LEVEL for each level it stores, so that the filter grows with the input
+and the rate of false positives is the same at every size; no task and no driver holds more of it than one segment.
 
 The model interpolates: p(w | v) = (1 - WEIGHT) p(w) + WEIGHT c(v w) / c(v), with p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)) and
 all c from the filter. base_score takes p(w) from the exact counts.
@@ -17,7 +17,6 @@ row and count each; an empty table gives no rows; without training texts every c
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +30,14 @@ BASE = 1.5
 WEIGHT = 0.3
 PROBES = 4
 BLOCK_TEXT = 16 << 20
-FILTER_BITS_PER_BYTE = 1.4
-FILTER_LIMIT = 128 << 20
+FILTER_BITS_PER_LEVEL = 9
+BUCKET_TEXT = 4 << 20
 HELD_OUT = 10
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _PAIR = np.uint64(0xDA942042E4DD58B5)
 _LEVEL = np.uint64(0x9E3779B97F4A7C15)
-_OUT = "block long, bucket long, h binary, c binary, bits binary, v long, n long"
+_SENT = ["h", "c", "pairs", "pair_c"]
+_ANSWER = ["c", "level", "pair_level"]
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,17 +130,18 @@ def _widen(cell: bytes, unpack) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def _spans(h: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    """Slices of sorted hashes by bucket."""
-    of = bucket_of(h, buckets)
-    cuts = np.flatnonzero(np.diff(of, prepend=-1))
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)], strict=True):
-        yield int(of[a]), slice(a, b)
+def _cut(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The buckets + 1 bounds of sorted hashes by bucket."""
+    return np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
 
 
-def _table(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-    return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["block", "bucket", "h", "c", "bits", "v", "n"])
+def _table(rows: list[tuple], cells: list[str], sums: list[str]) -> pa.Table:
+    names = ["block", "bucket", *cells, *sums]
+    return pa.table([pa.array([r[k] for r in rows], pa.binary() if x in cells else pa.int64()) for k, x in enumerate(names)], names)
+
+
+def _schema(cells: list[str], sums: list[str]) -> str:
+    return ", ".join(["block long", "bucket long", *(f"{x} binary" for x in cells), *(f"{x} long" for x in sums)])
 
 
 def _blocked(docs: DataFrame, blocks: int) -> DataFrame:
@@ -149,78 +150,85 @@ def _blocked(docs: DataFrame, blocks: int) -> DataFrame:
     return common.doc_key(docs).select("doc_id", held.alias("held_out"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"))
 
 
-def _gathered(docs: DataFrame, blocks: int, buckets: int, bits: int) -> DataFrame:
-    """Answers (block, h, c: the exact counts of a block's words) and segments (bucket, bits), with v and n of each bucket."""
+def segment_bits(count: np.ndarray) -> int:
+    """The size of a segment that is to hold keys with these counts."""
+    return 8 * max(8, math.ceil(FILTER_BITS_PER_LEVEL * int(levels(count).sum()) / 8))
+
+
+def _gathered(docs: DataFrame, blocks: int, buckets: int) -> DataFrame:
+    """Answers (block, bucket, c: the exact counts of the block's words of the bucket, their levels and those of its bigrams, all in the
+    order of the hashes); v and n of each bucket stand in one of its rows."""
 
     def send(table: pa.Table) -> pa.Table:
         pack = zstandard.ZstdCompressor(level=1).compress
         single, double = [], []
         for chunk in kernels.chunks(iter(table.combine_chunks().to_batches())):
             t, bounds = tokens(*kernels.utf8(chunk.column("text")))
-            train = np.repeat(~chunk.column("held_out").to_numpy(zero_copy_only=False), np.diff(bounds))
-            single.append(counted(t, train.astype(np.int64)))
-            double.append(counted(bigrams(t, bounds)[0][train]))
-        block, rows = table["block"][0].as_py(), []
-        for kind, parts in ((0, single), (1, double)):
+            train = np.repeat(~chunk.column("held_out").to_numpy(zero_copy_only=False), np.diff(bounds)).astype(np.int64)
+            single.append(counted(t, train))
+            double.append(counted(bigrams(t, bounds)[0], train))
+        block, cells = table["block"][0].as_py(), []
+        for parts in (single, double):
             h, c = counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-            rows.extend((block if kind == 0 else None, bucket, _squeeze(h[s], pack), pack(c[s].astype("<u4").tobytes()), None, None, None) for bucket, s in _spans(h, buckets))
-        return _table(rows)
+            parts.clear()
+            cuts = _cut(h, buckets).tolist()
+            cells.append([(_squeeze(h[a:b], pack), pack(c[a:b].astype("<u4").tobytes())) if a < b else (None, None) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        return _table([(block, k, *one, *two) for k, (one, two) in enumerate(zip(*cells, strict=True)) if one[0] or two[0]], _SENT, [])
 
     def meet(table: pa.Table) -> pa.Table:
         pack, unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
-        asked, hs, cs, rows = [], ([], []), ([], []), []
-        bucket = table["bucket"][0].as_py()
-        for block, h, c in zip(*(table[x].to_pylist() for x in ("block", "h", "c")), strict=True):
-            kind = int(block is None)
-            hs[kind].append(_widen(h, unpack))
-            cs[kind].append(np.frombuffer(unpack(c), "<u4").astype(np.int64))
-            if block is not None:
-                asked.append((block, h))
-        words, count = counted(np.concatenate(hs[0]), np.concatenate(cs[0])) if hs[0] else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        for (block, cell), h in zip(asked, hs[0], strict=True):
-            rows.append((block, None, cell, pack(count[np.searchsorted(words, h)].astype("<i8").tobytes()), None, None, None))
-        known = count > 0
-        pairs, pair_count = counted(np.concatenate(hs[1]), np.concatenate(cs[1])) if hs[1] else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        held = segment(np.append(words[known], pairs), np.append(count[known], pair_count), bits)
-        rows.append((None, bucket, None, None, held.tobytes(), int(known.sum()), int(count.sum())))
-        return _table(rows)
-
-    return _blocked(docs, blocks).groupBy("block").applyInArrow(send, _OUT).select("block", "bucket", "h", "c").groupBy("bucket").applyInArrow(meet, _OUT)
+        none = np.zeros(0, np.uint64)
+        hs, keys, counts = [], [], []
+        for h, c in (("h", "c"), ("pairs", "pair_c")):
+            hs.append([none if x is None else _widen(x, unpack) for x in table[h].to_pylist()])
+            cs = [none.view(np.int64) if x is None else np.frombuffer(unpack(x), "<u4").astype(np.int64) for x in table[c].to_pylist()]
+            key, count = counted(np.concatenate(hs[-1]), np.concatenate(cs))
+            keys.append(key)
+            counts.append(count)
+        known = [c > 0 for c in counts]
+        held, stored = (np.concatenate([x[k] for x, k in zip(xs, known, strict=True)]) for xs in (keys, counts))
+        filter_ = segment(held, stored, segment_bits(stored))[None, :]
+        level = [probe(filter_, key).astype(np.uint8) for key in keys]
+        rows, sums = [], (int(known[0].sum()), int(counts[0].sum()))
+        for block, bucket, words, pairs in zip(table["block"].to_pylist(), table["bucket"].to_pylist(), *hs, strict=True):
+            at, pair_at = np.searchsorted(keys[0], words), np.searchsorted(keys[1], pairs)
+            rows.append((block, bucket, pack(counts[0][at].astype("<i8").tobytes()), pack(level[0][at].tobytes()), pack(level[1][pair_at].tobytes()), *(sums if not rows else (None, None))))
+        return _table(rows, _ANSWER, ["v", "n"])
+
+    return _blocked(docs, blocks).groupBy("block").applyInArrow(send, _schema(_SENT, [])).groupBy("bucket").applyInArrow(meet, _schema(_ANSWER, ["v", "n"]))
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_TEXT))
-    buckets = max(1, min(4096, math.ceil(size / (4 << 20))))
-    bits = 8 * max(64, min(FILTER_LIMIT // buckets, math.ceil(size * FILTER_BITS_PER_BYTE / 8 / buckets)))
-    met = common.materialise(_gathered(docs, blocks, buckets, bits), "counts")
-    filter_, known, total = np.zeros((buckets, bits // 8), np.uint8), 0, 0
-    for row in met.where("bucket is not null").select("bucket", "bits", "v", "n").toLocalIterator():
-        filter_[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
-        known, total = known + row["v"], total + row["n"]
-    sent = spark.sparkContext.broadcast(filter_)
-    answers = met.where("block is not null").select("block", "h", "c")
+    buckets = max(1, min(4096, math.ceil(size / BUCKET_TEXT)))
+    met = common.materialise(_gathered(docs, blocks, buckets), "counts")
+    sums = met.agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
+    known, total = sums["v"] or 0, sums["n"] or 0
     floor = total + 0.1 * (known + 1)
 
     def judge(there: pa.Table, answered: pa.Table) -> pa.Table:
-        unpack, held = zstandard.ZstdDecompressor().decompress, sent.value
-        cells = [(_widen(h, unpack), np.frombuffer(unpack(c), "<i8")) for h, c in zip(answered["h"].to_pylist(), answered["c"].to_pylist(), strict=True)]
-        cells.sort(key=lambda x: x[0][0])
-        words = np.concatenate([x[0] for x in cells]) if cells else np.zeros(0, np.uint64)
-        count = np.concatenate([x[1] for x in cells]) if cells else np.zeros(0, np.int64)
-        guess = level_count(probe(held, words))
-        start = level_count(probe(held, np.array([_END])))[0]
-        out = []
+        unpack = zstandard.ZstdDecompressor().decompress
+        # the answers of the buckets, one after another, are in the order of the block's sorted hashes
+        order = np.argsort(answered["bucket"].to_numpy())
+        count, guess, pair_guess = (np.frombuffer(b"".join(unpack(cells[k]) for k in order), kind) for cells, kind in ((answered[x].to_pylist(), k) for x, k in zip(_ANSWER, ("<i8", "u1", "u1"), strict=True)))
+        guess = level_count(guess.astype(np.int64))
+        chunks, words, pairs = [], [], []
         for chunk in kernels.chunks(iter(there.combine_chunks().to_batches())):
             t, bounds = tokens(*kernels.utf8(chunk.column("text")))
+            chunks.append((chunk.select(["doc_id", "held_out"]), t, bounds))
+            words.append(np.unique(t))
+            pairs.append(np.unique(bigrams(t, bounds)[0]))
+        words, pairs = (np.unique(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in (words, pairs))
+        out = []
+        for chunk, t, bounds in chunks:
             pair, before = bigrams(t, bounds)
-            distinct, back = np.unique(pair, return_inverse=True)
-            pair_count = level_count(probe(held, distinct))[back]
+            pair_count = level_count(pair_guess[np.searchsorted(pairs, pair)].astype(np.int64))
             at = np.searchsorted(words, t)
             c, own = count[at], guess[at]
-            context = np.where(before == _START, start, guess[np.minimum(np.searchsorted(words, before), len(words) - 1)])
+            # texts begin as often as they end
+            context = guess[np.searchsorted(words, np.where(before == _START, _END, before))]
             single = (own + 0.1) / max(floor, 0.1)
             double = np.minimum(pair_count, context) / np.maximum(context, 1.0)
             model = np.log10((1 - WEIGHT) * single + WEIGHT * double)
@@ -232,6 +240,6 @@ def score(docs: DataFrame) -> DataFrame:
         return pa.Table.from_batches(out, schema)
 
     rows = _blocked(docs, blocks)
-    answers = answers.select(F.col("block").alias("to"), "h", "c")
+    answers = met.select(F.col("block").alias("to"), "bucket", *_ANSWER)
     judged = rows.groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return judged
