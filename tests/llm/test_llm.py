@@ -459,6 +459,26 @@ def test_classifier_keeps_like_texts(spark, empty):
     assert kneserney.classify(docs, labels.where("false")).where("kept").count() == 130
 
 
+def test_classifier_finds_a_few_odd_words_in_long_texts(spark):
+    rng = random.Random(12)
+    odd = lambda: prose(rng, 150) + " Qwrtzky " + prose(rng, 150)
+    rows = [(k, prose(rng, 300), "en") for k in range(200)] + [(1000 + k, odd(), "en") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(150)] + [(1000 + k, 1, 1) for k in range(15)], "doc_id long, quality int, toxic int")
+    got = by_id(kneserney.classify(docs, labels))
+    assert not any(got[1000 + k]["kept"] for k in range(30)) and sum(got[k]["kept"] for k in range(200)) >= 190
+
+
+def test_local_perplexity_by_either_way(spark):
+    rng = random.Random(9)
+    model = kneserney.Model(spark.createDataFrame([(prose(rng, 60),)], "text string"))
+    docs = spark.createDataFrame([(1, prose(rng, 30), "en"), (2, "zz", None), (None, "zz ☃", "en"), (4, "", "en"), (5, prose(rng, 9) + "~~~~" + prose(rng, 9), "en")], "doc_id long, text string, lang string")
+    one, two = (by_id(kneserney.perplexities(docs, model, limit)) for limit in (10**6, 0))
+    assert one[4]["log_local"] is None and one[2]["log_local"] == pytest.approx(one[2]["log_ppl"])
+    for k in (1, 2, None, 5):
+        assert two[k]["log_local"] == pytest.approx(one[k]["log_local"]) and one[k]["log_local"] >= one[k]["log_ppl"] - 1e-9
+
+
 # 2: quality rules
 
 

@@ -5,10 +5,15 @@ counted, lower orders get continuation counts, and three discounts per order fol
 this, and the interpolated probabilities, are joins of count tables sharded by n-gram or context. The distinct n-grams of all
 documents are then joined with these tables, suffix by suffix, which gives each its probability, seen in training or not. A
 document's perplexity is the exponential of its mean negative log probability, over its whole text. A table of up to
-BROADCAST_GRAMS n-grams goes to the workers; a larger one is joined with the n-gram counts of the documents.
+BROADCAST_GRAMS n-grams goes to the workers; a larger one is joined with the distinct n-grams of blocks of documents. Its local
+perplexity is that of its least likely LOCAL characters in a row, which a few odd words raise however long the text is.
 
-A document is kept if its log perplexity is at most that of QUANTILE of the held-out trusted documents (one of FOLDS folds) of its
-language, plus MARGIN; languages with fewer than LEAST of these use the quantile over all. The quantiles come from histograms.
+A document is kept if neither its local perplexity nor that of its whole text is beyond a limit of its language. The labels set the limits,
+first the local one and then, among documents within it, the other: each is where the fewest labelled documents are on the wrong
+side, counting those labelled bad or toxic (none of them is trained on) and, FOLDS times, the held-out trusted ones (one of FOLDS folds).
+It lies halfway to the next labelled document. Where no limit tells any bad document from the trusted ones, or none is labelled, it
+is the QUANTILE of the held-out trusted ones plus MARGIN. Languages with fewer than LEAST of these use the limit over all. The limits
+come from histograms.
 
 Defined results: a null or empty text has no perplexity and is not kept; without any trusted text there is no perplexity
 and every document with a character is kept; null languages are a language; repeated rows and null doc_ids each get their row;
@@ -36,6 +41,8 @@ BROADCAST_GRAMS = 4_000_000
 QUANTILE = 0.995
 MARGIN = 0.1
 LEAST = 100
+LOCAL = 8
+BLOCK_TEXT = 16 << 20
 #: One fold of the trusted documents sets the thresholds and takes no part in training.
 FOLDS = 4
 BINS = 256
@@ -47,6 +54,13 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.select(F.col("doc_id").cast("long").alias("trusted_id")).distinct()
 
 
+def bad_ids(labels: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The distinct ids of documents labelled bad or toxic and nowhere trusted."""
+    bad = labels.where(((F.col("quality") == 0) | (F.col("toxic") == 1)) & F.col("doc_id").isNotNull())
+    bad = bad.select(F.col("doc_id").cast("long").alias("bad_id")).distinct()
+    return bad.join(trusted, F.col("bad_id") == F.col("trusted_id"), "left_anti")
+
+
 def _symbols(chunk: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All rows' symbols with ORDER - 1 boundary symbols (0) before each, the place of each real one, and row bounds."""
     data, offsets = kernels.utf8(chunk)
@@ -172,8 +186,27 @@ class Model:
         return below.select(F.col("suffix").alias("gram"), F.log("below").alias("logp"))
 
 
+_JUDGED = "doc_id long, lang string, n_chars long, log_ppl double, log_local double"
+
+
+def _judged(chunk: pa.RecordBatch, table: np.ndarray, keys: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
+    """The mean negative log probability of each row and that of its least likely LOCAL characters in a row (all, if it has fewer)."""
+    key, bounds = grams(chunk.column("text"), table)
+    distinct, back = np.unique(key, return_inverse=True)
+    value = logs[np.searchsorted(keys, distinct)][back] if len(key) else np.zeros(0)
+    total = np.concatenate([[0.0], np.cumsum(value)])
+    n = np.diff(bounds)
+    mean = -(total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(n, 1)
+    ends, at, some = np.repeat(bounds[1:], n), np.arange(len(key)), n > 0
+    local = np.zeros(len(n))
+    if len(key):
+        # windows that the row's end cuts short are part of its last whole one, whose sum is no smaller
+        local[some] = np.maximum.reduceat(total[:-1] - total[np.minimum(at + LOCAL, ends)], bounds[:-1][some]) / np.minimum(n[some], LOCAL)
+    return pa.record_batch([chunk.column("doc_id"), chunk.column("lang"), pa.array(n), pa.array(mean, mask=~some), pa.array(local, mask=~some)], ["doc_id", "lang", "n_chars", "log_ppl", "log_local"])
+
+
 def perplexities(docs: DataFrame, model: Model, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
-    """doc_id, lang, n_chars and log_ppl (mean negative natural log probability, null for empty texts) of every row."""
+    """doc_id, lang, n_chars, log_ppl (mean negative natural log probability, null for empty texts) and log_local of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     table = model.table
     wanted = common.materialise(_distinct_grams(rows, table).select("gram"), "wanted")  # one pass over the texts
@@ -187,40 +220,55 @@ def perplexities(docs: DataFrame, model: Model, broadcast_grams: int = BROADCAST
     del frame, keys, order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, logs = known.value
         for chunk in kernels.chunks(batches):
-            key, bounds = grams(chunk.column("text"), table)
-            distinct, back = np.unique(key, return_inverse=True)
-            value = logs[np.searchsorted(keys, distinct)][back] if len(key) else np.zeros(0)
-            total = np.concatenate([[0.0], np.cumsum(value)])
-            n = np.diff(bounds)
-            mean = -(total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(n, 1)
-            yield pa.record_batch([chunk.column("doc_id"), chunk.column("lang"), pa.array(n), pa.array(mean, mask=n == 0)], ["doc_id", "lang", "n_chars", "log_ppl"])
+            yield _judged(chunk, table, *known.value)
 
-    return rows.mapInArrow(run, "doc_id long, lang string, n_chars long, log_ppl double")
+    return rows.mapInArrow(run, _JUDGED)
 
 
 def _by_join(rows: DataFrame, table: np.ndarray, scored: DataFrame) -> DataFrame:
-    """The same by a join on n-grams; each document's distinct n-grams are counted before they move."""
-    rows = rows.withColumn("row", F.struct("doc_id", "lang", F.xxhash64("text").alias("h")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in kernels.chunks(batches):
-            key, bounds = grams(chunk.column("text"), table)
-            for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                gram, n = np.unique(key[a:b], return_counts=True)
-                yield pa.record_batch([chunk.column("row").take(pa.array(np.full(len(gram), k))), pa.array(gram), pa.array(n)], ["row", "gram", "n"])
-
-    listed = rows.select("row", "text").mapInArrow(run, "row struct<doc_id: long, lang: string, h: long>, gram long, n long")
-    sums = listed.join(scored, "gram").groupBy("row").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("logp")).alias("total"))
-    # rows that repeat a document sum up together, which leaves their mean as it is
-    means = sums.select("row", (-F.col("total") / F.col("n")).alias("log_ppl"))
-    joined = rows.withColumn("key", F.to_json("row")).join(means.select(F.to_json("row").alias("key"), "log_ppl"), "key", "left")
-    return joined.select("doc_id", "lang", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), "log_ppl")
+    """The same by a join on the distinct n-grams of each block of documents, which come back to the block's texts."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / BLOCK_TEXT))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+
+    def run(there: pa.Table) -> pa.Table:
+        held = [np.unique(grams(chunk.column("text"), table)[0]) for chunk in kernels.chunks(iter(there.combine_chunks().to_batches()))]
+        gram = np.unique(np.concatenate(held))
+        return pa.table({"block": pa.array(np.full(len(gram), there["block"][0].as_py())), "gram": pa.array(gram)})
+
+    def judge(there: pa.Table, answered: pa.Table) -> pa.Table:
+        keys = answered["gram"].to_numpy()
+        order = np.argsort(keys)
+        keys, logs = keys[order], answered["logp"].to_numpy()[order]
+        schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_chars", pa.int64()), ("log_ppl", pa.float64()), ("log_local", pa.float64())])
+        return pa.Table.from_batches([_judged(chunk, table, keys, logs).cast(schema) for chunk in kernels.chunks(iter(there.combine_chunks().to_batches()))], schema)
+
+    listed = rows.groupBy("block").applyInArrow(run, "block long, gram long")
+    answers = listed.join(scored, "gram").select(F.col("block").alias("to"), "gram", "logp")
+    return rows.groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(judge, _JUDGED)
+
+
+def _limits(marked: DataFrame, column: str, quantile: float, margin: float) -> tuple[DataFrame, Column]:
+    """The limits of the languages with enough documents (lang_key, and the limit named by the column), and that over all."""
+    counts = marked.groupBy("lang_key", F.floor(F.col(column) * BINS).alias("bin")).agg(F.sum(F.col("bad").cast("long")).alias("d"), F.sum((~F.col("bad")).cast("long")).alias("g"))
+    both = counts.union(counts.groupBy(F.lit("").alias("lang_key"), "bin").agg(F.sum("d").alias("d"), F.sum("g").alias("g")))
+    all_, upto = Window.partitionBy("lang_key"), Window.partitionBy("lang_key").orderBy("bin")
+    both = both.withColumns({"total": F.sum("g").over(all_), "reached": F.sum("g").over(upto), "cost": F.sum("d").over(upto) + FOLDS * (F.sum("g").over(all_) - F.sum("g").over(upto)), "next": F.lead("bin").over(upto)})
+    found = both.groupBy("lang_key").agg(
+        F.first("total").alias("total"),
+        F.min_by(F.struct("bin", "next"), F.struct("cost", -F.col("bin"))).alias("best"),
+        F.min(F.when(F.col("reached") >= F.ceil(quantile * F.col("total")), F.col("bin"))).alias("bin"),
+    )
+    limit = F.coalesce((F.col("best.bin") + 1 + F.col("best.next")) / (2 * BINS), (F.col("bin") + 1) / BINS + margin)
+    found = common.materialise(found.where("total > 0").select("lang_key", "total", limit.alias("limit")), "limits")
+    overall = found.where("lang_key = ''").first()
+    own = found.where((F.col("lang_key") != "") & (F.col("total") >= LEAST)).select("lang_key", F.col("limit").alias(f"{column}_limit"))
+    return own, F.coalesce(f"{column}_limit", F.lit(overall["limit"] if overall else math.inf))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """doc_id, lang, n_chars, perplexity, threshold and kept of every row."""
+    """doc_id, lang, n_chars, perplexity, threshold, local_perplexity, local_threshold and kept of every row."""
     trusted = common.materialise(trusted_ids(labels), "trusted-ids")
     held_out = F.pmod(F.xxhash64("trusted_id", F.lit("fold")), F.lit(FOLDS)) == 0
     sample = trusted.where(~held_out).orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(train_docs)
@@ -229,19 +277,18 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     if not (model.table < UNKNOWN).any():
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"))
         nothing = F.lit(None).cast("double")
-        return rows.select("doc_id", "lang", "n_chars", nothing.alias("perplexity"), nothing.alias("threshold"), (F.col("n_chars") > 0).alias("kept"))
+        return rows.select("doc_id", "lang", "n_chars", nothing.alias("perplexity"), nothing.alias("threshold"), nothing.alias("local_perplexity"), nothing.alias("local_threshold"), (F.col("n_chars") > 0).alias("kept"))
     rows = common.materialise(perplexities(docs, model).withColumn("lang_key", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("~"))), "perplexity")
-    good = rows.where("log_ppl is not null").join(trusted.where(held_out), F.col("doc_id") == F.col("trusted_id"), "left_semi")
-    counts = good.select("lang_key", F.floor(F.col("log_ppl") * BINS).alias("bin")).groupBy("lang_key", "bin").agg(F.count(F.lit(1)).alias("c"))
-    both = counts.union(counts.groupBy(F.lit("").alias("lang_key"), "bin").agg(F.sum("c").alias("c")))
-    total, reached = F.sum("c").over(Window.partitionBy("lang_key")), F.sum("c").over(Window.partitionBy("lang_key").orderBy("bin"))
-    limits = both.withColumns({"total": total, "reached": reached}).where(F.col("reached") >= F.ceil(quantile * F.col("total"))).groupBy("lang_key").agg(F.min("bin").alias("bin"), F.first("total").alias("total"))
-    limits = common.materialise(limits.select("lang_key", "total", ((F.col("bin") + 1) / BINS + margin).alias("limit")), "limits")
-    overall = limits.where("lang_key = ''").first()
-    own = limits.where((F.col("lang_key") != "") & (F.col("total") >= LEAST)).select("lang_key", "limit")
-    limit = F.coalesce("limit", F.lit(overall["limit"] if overall else math.inf))
+    marks = trusted.where(held_out).select(F.col("trusted_id").alias("mark_id"), F.lit(False).alias("bad")).union(bad_ids(labels, trusted).select("bad_id", F.lit(True)))
+    marked = rows.where("log_ppl is not null").join(marks, F.col("doc_id") == F.col("mark_id")).select("lang_key", "log_ppl", "log_local", "bad")
+    marked = common.materialise(marked, "marked")
+    own, local = _limits(marked, "log_local", quantile, margin)
+    within = marked.join(own, "lang_key", "left").where(F.col("log_local") <= local).drop("log_local_limit")
     judged = rows.join(own, "lang_key", "left")
-    return judged.select("doc_id", "lang", "n_chars", F.exp("log_ppl").alias("perplexity"), F.exp(limit).alias("threshold"), F.coalesce(F.col("log_ppl") <= limit, F.lit(False)).alias("kept"))
+    own, limit = _limits(within, "log_ppl", quantile, margin)
+    judged = judged.join(own, "lang_key", "left")
+    kept = F.coalesce((F.col("log_ppl") <= limit) & (F.col("log_local") <= local), F.lit(False))
+    return judged.select("doc_id", "lang", "n_chars", F.exp("log_ppl").alias("perplexity"), F.exp(limit).alias("threshold"), F.exp("log_local").alias("local_perplexity"), F.exp(local).alias("local_threshold"), kept.alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
