@@ -200,6 +200,14 @@ def test_suffix_clean_and_repeated_ids(spark):
     assert [x[1:] for x in out] == [(1, "x", passage + " first"), (2, "y", "second"), (2, "y2", ""), (3, "n", None), (None, "z", "")] or [x[3] for x in out if x[2] == "z"] == [""]
 
 
+def test_suffix_repeated_ids_across_tasks(spark):
+    passage = "a passage of some length that three documents share, word for word."
+    rows = [(None, passage + " in the first task"), (5, "five " + passage), (None, "elsewhere " + passage), (6, "nothing of that kind")]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    assert not any(passage in r["text"] for r in suffix.clean(docs).where("doc_id is null").collect())
+    assert suffix.clean(docs).where("doc_id = 5").first()["text"] == "five " + passage
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_suffix_array_orders_all_suffixes(seed):
     rng = np.random.default_rng(seed)

@@ -282,6 +282,9 @@ def _hits(rows: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
             yield _sent([(-1 - i % buckets, None, at, None, None, None, i.to_bytes(8, "little", signed=True)) for i, at in zip(done.column("d").to_pylist(), done.column("at").to_pylist(), strict=True)])
             keep = ~several
             keep[new] = True
+            # and one of another document, so that the bucket sees two whatever the other tasks send
+            other = np.flatnonzero(several & (d != _spread(new, d[new], len(d))))
+            keep[other[np.flatnonzero(np.diff(np.searchsorted(new, other, "right"), prepend=-1))]] = True
             h, d, pos = h[keep], d[keep], pos[keep]
             bucket = _bucket(h, buckets)
             order = np.lexsort((pos, d, bucket))
