@@ -85,17 +85,6 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-_SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def second_prefix(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of an independent hash: the bytes go through a table of mixed values first."""
-    power, _ = _power_tables(len(data))
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(mix(np.arange(256, dtype=np.uint64) + _SECOND)[data] * power[: len(data)], out=out[1:])
-    return out
-
-
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     power, _ = _power_tables(len(data))
     out = np.zeros(len(data) + 1, np.uint64)

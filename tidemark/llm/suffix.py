@@ -4,9 +4,9 @@ Every window of `WINDOW` bytes belongs to an anchor, the smallest hash among its
 equal windows have equal anchors. (1) Anchors met in one document only can hold no repeated window; the others are found by
 hash buckets, to which each task sends a string it has itself seen in several documents just once. (2) For those
 anchors, the bytes of all their windows (a context) go to buckets by anchor, once per task and distinct context, with the
-smallest document; larger documents with the same context lose it at once. (3) Each bucket builds a suffix array of its distinct
-contexts in two stages: only suffixes smaller than their successors are sorted directly, the rest is induced by
-scans over the buckets of first bytes. Adjacent common prefixes of WINDOW bytes or more make runs, and a window goes
+smallest document; larger documents with the same context, byte for byte, lose it at once. (3) Each bucket builds a suffix array of its distinct
+contexts in two stages: of the suffixes that begin a window, only those smaller than their successors are sorted directly, the rest is
+induced by scans over the buckets of first bytes. Adjacent common prefixes of WINDOW bytes or more make runs, and a window goes
 where its run holds a smaller document. (4) The spans come back to the documents.
 
 Defined results: a null text is empty; a null doc_id counts as larger than every other; rows with equal doc_id never remove from
@@ -67,14 +67,20 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: i
     return pos, hashes[pos], windows[first], windows[last], starts[first]
 
 
+def _eights(data: np.ndarray, more: int, order: str) -> np.ndarray:
+    """The eight bytes from each place on as one number, as a view; `more` zeros follow the data."""
+    padded = np.concatenate([data, np.zeros(more + 8, np.uint8)])
+    return np.ndarray((len(data) + more,), f"{order}u8", padded, strides=(1,))
+
+
 def _sorted_by_words(words: np.ndarray, mask: np.ndarray, at: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
     """Order of the suffixes by eight bytes at a time; each step only takes those that are still equal to a neighbour."""
-    order = np.argsort(words[at] & mask[np.minimum(left, 8)], kind="stable")
+    order = np.argsort(words[at].astype(np.uint64) & mask[np.minimum(left, 8)], kind="stable")
     live = np.arange(len(at))  # places in the order that are not settled
     rank = np.zeros(len(at), np.int64)  # start of each place's run of equals
     for j in range(0, depth, 8):
         here = order[live]
-        key = words[at[here] + j] & mask[np.clip(left[here] - j, 0, 8)]
+        key = words[at[here] + j].astype(np.uint64) & mask[np.clip(left[here] - j, 0, 8)]
         if j:
             inner = np.lexsort((key, rank[live]))
             here, key = here[inner], key[inner]
@@ -92,45 +98,48 @@ def _sorted_by_words(words: np.ndarray, mask: np.ndarray, at: np.ndarray, left:
     return order
 
 
-def suffix_array(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of all suffixes, ordered by their first `depth` bytes at least; a suffix ends where its string does.
+def suffix_array(text: np.ndarray, ends: np.ndarray, depth: int, least: int = 1) -> np.ndarray:
+    """Positions of the suffixes of at least `least` bytes, ordered by their first `depth` bytes at least; a suffix ends where
+    its string does.
 
     `ends` holds the (exclusive) end of each string; the strings fill the text. Stage one sorts the suffixes that are smaller than
     their successors; stage two runs through the buckets of first bytes in order and puts the predecessors that are larger than
-    their successors behind what their own bucket has so far.
+    their successors behind what their own bucket has so far. Shorter suffixes take part only where a wanted one is induced from
+    them: those up to the next suffix that is sorted directly.
     """
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
     # string ends become symbol 0 of a longer text; bytes become 1..256
-    joined = np.zeros(n + len(ends), np.int32)
+    joined = np.zeros(n + len(ends), np.int16)
     place = np.arange(n) + np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    joined[place] = text.astype(np.int32) + 1
+    joined[place] = text.astype(np.int16) + 1
     m = len(joined)
-    following = np.append(joined[1:], 0)
+    following = np.append(joined[1:], np.int16(0))
     stop = np.flatnonzero(joined != following)  # ends of runs of one symbol
     run_end = np.append(np.repeat(stop, np.diff(stop, prepend=-1)), np.full(m - 1 - stop[-1], stop[-1]))
     smaller = joined[run_end] < following[run_end]
     smaller[joined == 0] = True
     end_at = np.flatnonzero(joined == 0)
-    direct = np.flatnonzero(smaller & (joined > 0))
-    own_end = np.repeat(end_at, np.diff(end_at, prepend=-1))
-    left = own_end[direct] - direct
-    raw = np.concatenate([np.maximum(joined - 1, 0), np.zeros(depth + 16, np.int32)]).astype(np.uint64)
-    words = np.zeros(m + depth, np.uint64)  # the eight bytes from each place on
-    for b in range(8):
-        words = words << np.uint64(8) | raw[b : b + m + depth]
-    left = np.minimum(left, depth)
+    left = np.repeat(end_at, np.diff(end_at, prepend=-1)) - np.arange(m)
+    wanted = left >= least
+    # what a wanted suffix is induced from ends with the next one that is sorted directly (or with the string's end)
+    direct = np.flatnonzero(smaller)
+    source = direct[np.searchsorted(direct, np.flatnonzero(wanted))]
+    taking = np.cumsum(wanted - np.bincount(source + 1, minlength=m + 1)[:m]) > 0
+    direct = direct[taking[direct] & (joined[direct] > 0)]
+    words = _eights(np.maximum(joined - 1, 0).astype(np.uint8), depth + 8, ">")
     mask = np.array([0xFFFFFFFFFFFFFFFF << 8 * (8 - k) & 0xFFFFFFFFFFFFFFFF for k in range(9)], np.uint64)
     if len(direct):
-        direct = direct[_sorted_by_words(words, mask, direct, left, depth)]
+        direct = direct[_sorted_by_words(words, mask, direct, np.minimum(left[direct], depth), depth)]
     head = joined[direct]
+    induced = taking & ~smaller
     parts: list[list[np.ndarray]] = [[] for _ in range(257)]
 
     def induce(here: np.ndarray, symbol: int) -> np.ndarray:
         """Put away the larger predecessors of these suffixes; those of the same bucket are returned."""
         before = here[here > 0] - 1
-        before = before[~smaller[before]]
+        before = before[induced[before]]
         symbols = joined[before]
         same = before[symbols == symbol]
         rest = symbols != symbol
@@ -138,12 +147,12 @@ def suffix_array(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
         if len(before):
             order = np.argsort(symbols, kind="stable")
             before, symbols = before[order], symbols[order]
-            cuts = np.flatnonzero(np.diff(symbols, prepend=-1))
+            cuts = np.flatnonzero(np.diff(symbols, prepend=np.int16(-1)))
             for piece, s in zip(np.split(before, cuts[1:]), symbols[cuts].tolist(), strict=True):
                 parts[s].append(piece)
         return same
 
-    out = []
+    out = [np.zeros(0, np.int64)]
     induce(end_at, 0)
     for symbol in range(1, 257):
         front = np.concatenate(parts[symbol]) if parts[symbol] else np.zeros(0, np.int64)
@@ -155,16 +164,14 @@ def suffix_array(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
             out.append(sorted_ones)
             induce(sorted_ones, symbol)
     found = np.concatenate(out)
+    found = found[wanted[found]]
     return found - np.repeat(np.arange(len(end_at)), np.diff(end_at, prepend=-1))[found]
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """Common prefix of each suffix with its predecessor in the order, at most `depth`; all must have depth bytes."""
     out = np.zeros(len(order), np.int64)
-    raw = np.concatenate([text, np.zeros(depth + 16, np.uint8)]).astype(np.uint64)
-    words = np.zeros(len(text) + depth, np.uint64)
-    for b in range(8):
-        words |= raw[b : b + len(words)] << np.uint64(8 * b)
+    words = _eights(text, depth + 8, "<")
     live = np.arange(1, len(order))
     for j in range(0, depth, 8):
         differ = words[order[live] + j] ^ words[order[live - 1] + j]
@@ -179,9 +186,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
 
 def repeated_windows(text: np.ndarray, ends: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
     """Starts of the windows that also start in a string with a smaller owner."""
-    order = suffix_array(text, ends, window)
+    order = suffix_array(text, ends, window, window)
     string = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    order = order[ends[string[order]] - order >= window]
     if not len(order):
         return order
     runs = np.flatnonzero(common_prefixes(text, order, window) < window)
@@ -340,10 +346,21 @@ def _span_rows(d: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa
     return pa.record_batch([pa.array(d[new], pa.int64()), pa.array(v[new], pa.int32()), pa.array(cells, pa.binary())], ["d", "v", "spans"])
 
 
-def _least(h1: np.ndarray, h2: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by context (128 bits of hash) and document; the group starts, and each ordered row's smallest document."""
-    order = np.lexsort((d, h2, h1))
-    starts = _groups(h1[order], h2[order])
+def _least(text: np.ndarray, start: np.ndarray, size: np.ndarray, h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by context and document; the starts of the groups of equal contexts, and each ordered row's smallest document.
+
+    A hash brings equal contexts together, and their bytes are compared with those of the row before; rows whose hash alone is
+    equal are groups of their own, which only makes the array hold a context more than once."""
+    order = np.lexsort((d, size, h))
+    new = np.append(True, (np.diff(h[order]) != 0) | (np.diff(size[order]) != 0)) if len(h) else np.zeros(0, bool)
+    words, some, j = _eights(text, 8, "<"), np.flatnonzero(~new), 0
+    while len(some):
+        n = size[order[some]]
+        step = np.minimum(j, np.maximum(n - 8, 0))
+        new[some] |= words[start[order[some]] + step] != words[start[order[some - 1]] + step]
+        j += 8
+        some = some[n > j]
+    starts = np.flatnonzero(new)
     return order, starts, _spread(starts, d[order][starts], len(d))
 
 
@@ -356,12 +373,12 @@ def _spans(rows: DataFrame, hits: DataFrame, buckets: int, window: int, gram: in
         held, texts, waiting, length = [], [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h1, h2, d, v, at, start, size, bucket = (np.concatenate([x[k] for x in held]) for k in range(8))
+            h, d, v, at, start, size, bucket = (np.concatenate([x[k] for x in held]) for k in range(7))
             text = np.concatenate(texts)
             held.clear()
             texts.clear()
-            order, _, least = _least(h1, h2, d)
-            d, v, at, start, size, bucket, h1, h2 = d[order], v[order], at[order], start[order], size[order], bucket[order], h1[order], h2[order]
+            order, _, least = _least(text, start, size, h, d)
+            d, v, at, start, size, bucket = d[order], v[order], at[order], start[order], size[order], bucket[order]
             gone = d > least
             done = _span_rows(d[gone], v[gone], at[gone], at[gone] + size[gone])
             yield _sent([(-1 - i % buckets, None, spans, None, None, None, i.to_bytes(8, "little", signed=True) + k.to_bytes(4, "little")) for i, k, spans in zip(*(c.to_pylist() for c in done.columns), strict=True)])
@@ -384,8 +401,7 @@ def _spans(rows: DataFrame, hits: DataFrame, buckets: int, window: int, gram: in
             if not use.any():
                 continue
             a, b, row = first[use], last[use] + window, row[use]
-            h1, h2 = (kernels.span_hash(f(data), a, b) for f in (kernels.prefix_hash, kernels.second_prefix))
-            held.append((h1, h2, chunk.column("d").to_numpy()[row], chunk.column("v").to_numpy()[row], a - offsets[row], a + length, b - a, _bucket(h[use], buckets)))
+            held.append((kernels.span_hash(kernels.prefix_hash(data), a, b), chunk.column("d").to_numpy()[row], chunk.column("v").to_numpy()[row], a - offsets[row], a + length, b - a, _bucket(h[use], buckets)))
             texts.append(data)
             waiting, length = waiting + len(a), length + len(data)
             if waiting >= PACK_ANCHORS // 2 or length >= PACK_TEXT:
@@ -402,8 +418,7 @@ def _spans(rows: DataFrame, hits: DataFrame, buckets: int, window: int, gram: in
         text = np.frombuffer(b"".join(expand(x) for x in table["a"].to_pylist()), np.uint8)
         size, d, at, v = (np.concatenate([_unpack(x, t, k) for x in table[c].to_pylist()]).astype(np.int64) for c, t, k in (("b", "<u4", False), ("c", "<i8", True), ("e", "<u4", False), ("f", "<u2", False)))
         start = np.cumsum(size) - size
-        h1, h2 = (kernels.span_hash(f(text), start, start + size) for f in (kernels.prefix_hash, kernels.second_prefix))
-        order, starts, least = _least(h1, h2, d)
+        order, starts, least = _least(text, start, size, kernels.span_hash(kernels.prefix_hash(text), start, start + size), d)
         d, v, at, size, start = d[order], v[order], at[order], size[order], start[order]
         # the array holds each distinct context once; its owner is the smallest document
         ends = np.cumsum(size[starts])
