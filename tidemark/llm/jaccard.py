@@ -3,11 +3,14 @@
 A document's set holds its distinct word shingles as 64-bit hashes; documents with equal sets are one node, and links with
 intersection / union >= `threshold` join nodes. (1) Linked sets share a shingle among their first |A| - ceil(t |A|) + 1 in any
 common order; hot shingles come last in it, so that a passage many documents share puts few of them together. (2) Documents that
-share such a shingle form tiles by bands of set size; pairs in a tile are weighed by bitmaps of the sets: bits that only one
-side has bound the overlap from above. (3) What is left is decided by the exact intersection of sorted arrays. Each
-document is first compared with the smallest partner only; pairs inside the components that this makes need no comparison. A
-tile of over `SMALL` documents first links each to the tile's first and to its neighbour in size; all pairs of its
-remaining components are then weighed inside the tile.
+share such a shingle, in runs of sizes that can link, are candidates. Runs of up to `SMALL` documents give pairs, weighed by
+bitmaps of the sets. Larger runs give no pairs: each member names the run's first, and what such stars connect is a family. Tasks
+form the stars of what they hold themselves and send only the ends of each size band on, so that a shingle of a third of all
+documents is no group of that size. (3) A family is dealt to tiles by bands of size, of at most `TILE_BYTES` of shingles each. In a
+tile, bitmaps bound the overlap from above, by the bits that both sides have, and the intersection of sorted arrays decides;
+rows that are already connected are not compared, so a tile returns fewer links than it has rows. Each tile also gets some
+members of its own and of the neighbouring bands. Where a family is then still in several components, all rows but those of its
+largest component visit the other tiles of their own and of the neighbouring bands.
 
 Defined results: texts null or without words have an empty set and link with nothing; a text with fewer words than a
 shingle is one shingle; a null doc_id links with nothing and has a null component; several texts under one doc_id are one node with
@@ -36,7 +39,9 @@ HOT_SHINGLES = 200_000
 HOT_IN_CHUNK = 2
 BUCKET_TEXT = 4 << 20
 PACK_SHINGLES = 1 << 20
-TILE_ROWS = 4096
+TILE_BYTES = 4 << 20
+LEADERS = 4
+_REPRESENTS = np.uint32(1 << 31)  # marks, beside a place, a row that stands for a run in its task
 SIEVE_BITS = 1 << 27
 
 
@@ -84,6 +89,24 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def _runs(h: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Starts of the runs of one shingle whose sizes, in ascending order, can link from each to the next."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (100 * size[:-1] < percent * size[1:])))
+
+
+def _band(size: np.ndarray, percent: int) -> np.ndarray:
+    return np.floor(np.log(np.maximum(size, 1)) / math.log(100 / percent)).astype(np.int64)
+
+
+def _stars(doc: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Distinct (first of the run, member) of the given rows."""
+    first = doc[starts[np.searchsorted(starts, rows, "right") - 1]]
+    pairs = np.stack([first, doc[rows]], 1)
+    return np.unique(pairs[first != doc[rows]], axis=0)
+
+
 def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n, key (digest) and bits of every row."""
 
@@ -116,7 +139,8 @@ def hot_shingles(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.nd
 
 
 def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], buckets: int, words: int, percent: int) -> DataFrame:
-    """Packed (shingle, document, size) of the prefixes of all non-empty sets, by bucket; copies within a pack count once."""
+    """Packed (shingle, document, size, place) of the prefixes of all non-empty sets, by bucket; copies within a pack count once.
+    Buckets below zero hold stars (in h and doc) of the large runs within a pack."""
     known = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,20 +150,39 @@ def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], buckets: int,
         waiting = 0
 
         def flush() -> pa.RecordBatch:
-            rows = sorted(held.values(), key=lambda r: r[0])
+            rows = list(held.values())
             held.clear()
             count = [len(r[2]) for r in rows]
             h = np.concatenate([r[2] for r in rows])
             doc, size = np.repeat(np.array([r[0] for r in rows]), count), np.repeat(np.array([r[1] for r in rows]), count)
             place = np.concatenate([np.arange(c) for c in count])
+            # where this is the first shared shingle, no partner is larger than this; some partner must have the least size
+            top = (100 + percent) * (size - place) // percent - size
+            order = np.flatnonzero(100 * top >= percent * size)
+            order = order[np.lexsort((doc[order], size[order], h[order]))]
+            h, doc, size, place = h[order], doc[order], size[order], place[order].astype(np.uint32)
+            starts = _runs(h, size, percent)
+            large = np.repeat(np.diff(np.append(starts, len(h))) > SMALL, np.diff(np.append(starts, len(h))))
+            stars = _stars(doc, starts, np.flatnonzero(large))
+            band = _band(size, percent)
+            edge = np.zeros(len(h) + 1, bool)  # first and last rows of each band of a run
+            edge[starts] = edge[-1:] = True
+            edge[1:-1] |= band[1:] != band[:-1]
+            keep = ~large | edge[:-1] | edge[1:]
+            place = np.where(large, place | _REPRESENTS, place)
             bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = np.flatnonzero(keep)[np.argsort(bucket[keep], kind="stable")]
             h, doc, size, place, bucket = h[order], doc[order], size[order], place[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             bounds = np.append(cuts, len(h)).tolist()
             spans = list(zip(bounds[:-1], bounds[1:], strict=True))
             cells = [[pack(x[a:b].tobytes()) for a, b in spans] for x in (h, doc.astype("<i8"), size.astype("<u4"), place.astype("<u4"))]
-            return pa.record_batch([pa.array(bucket[cuts]), *(pa.array(c, pa.binary()) for c in cells)], ["bucket", "h", "doc", "size", "place"])
+            numbers = bucket[cuts]
+            for part in np.array_split(stars, 1 + len(stars) // 50_000) if len(stars) else ():
+                numbers = np.append(numbers, -1 - int(part[0, 1]) % buckets)
+                for cell, x in zip(cells, (part[:, 0], part[:, 1], part[:0, 0], part[:0, 0]), strict=True):
+                    cell.append(pack(x.astype("<i8").tobytes()))
+            return pa.record_batch([pa.array(numbers), *(pa.array(c, pa.binary()) for c in cells)], ["bucket", "h", "doc", "size", "place"])
 
         for chunk in kernels.chunks(batches):
             for doc, s in zip(chunk.column("doc_id").to_pylist(), shingle_sets(chunk.column("text"), words), strict=True):
@@ -165,44 +208,38 @@ def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], buckets: int,
 
 
 def _meet(prefixes: DataFrame, percent: int) -> DataFrame:
-    """(pair, x, y): the candidate pairs of documents x < y; with pair false, member y of the large tile of shingle x."""
+    """(pair, x, y): the candidate pairs of documents x < y of small runs; with pair false, x is the first of a large run and y its member."""
 
     def meet(table: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
-        h, doc, size, place = (np.concatenate([np.frombuffer(unpack(x), t) for x in table[c].to_pylist()]) for c, t in (("h", "u8"), ("doc", "<i8"), ("size", "<u4"), ("place", "<u4")))
-        size, left = size.astype(np.int64), size.astype(np.int64) - place  # what can still be shared from this shingle on
-        # where this is the first shared shingle, no partner is larger than this, and some partner may have this least size
-        top = (100 + percent) * left // percent - size
-        use = 100 * top >= percent * size
-        order = np.flatnonzero(use)[np.lexsort((doc[use], size[use], h[use]))]
-        h, doc, size, left, top = h[order], doc[order], size[order], left[order], top[order]
-        new = np.flatnonzero(np.diff(h, prepend=~h[:1])) if len(h) else np.zeros(0, np.int64)
-        count = np.diff(np.append(new, len(h)))
-        group = np.repeat(np.arange(len(new)), count)
-        large = count > SMALL
-        fits = lambda a, b: (100 * size[a] >= percent * size[b]) & enough(np.minimum(left[a], left[b]), size[a], size[b], percent)
-        xs, ys = [], []
-        for step in range(1, SMALL):  # pairs at each distance within the small tiles, vectorised over all of them
-            a = np.flatnonzero((group[:-step] == group[step:]) & ~large[group[:-step]]) if len(group) > step else np.zeros(0, np.int64)
-            if not len(a):
-                break
-            a = a[fits(a, a + step)]
-            xs.append(doc[a])
-            ys.append(doc[a + step])
-        member = np.flatnonzero(large[group])
-        band = np.floor(np.log(np.maximum(size, 1)) / math.log(100 / percent)).astype(np.int64)
-        if len(member):
-            lead = np.append(True, (np.diff(group[member]) != 0) | (np.diff(band[member]) != 0))
-            leader = member[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
-            before = np.where(np.append(False, group[member][1:] == group[member][:-1]), np.append(member[:1], member[:-1]), member)
-            for other in (leader, before):
-                xs.append(doc[other])
-                ys.append(doc[member])
-        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
-        x, y = np.minimum(x, y), np.maximum(x, y)
-        pairs = np.unique(np.stack([x, y], 1)[x != y], axis=0)
-        flag = np.append(np.ones(len(pairs), bool), np.zeros(len(member), bool))
-        return pa.table([pa.array(flag), pa.array(np.append(pairs[:, 0], h[member].view(np.int64))), pa.array(np.append(pairs[:, 1], doc[member]))], ["pair", "x", "y"])
+        read = lambda c, t: np.concatenate([np.frombuffer(unpack(x), t) for x in table[c].to_pylist()])
+        pairs = np.zeros((0, 2), np.int64)
+        if table["bucket"][0].as_py() < 0:
+            stars = np.unique(np.stack([read("h", "<i8"), read("doc", "<i8")], 1), axis=0)
+        else:
+            h, doc, size, place = read("h", "u8"), read("doc", "<i8"), read("size", "<u4").astype(np.int64), read("place", "<u4")
+            order = np.lexsort((doc, size, h))
+            h, doc, size, place = h[order], doc[order], size[order], place[order]
+            left = size - (place & ~_REPRESENTS).astype(np.int64)  # what can still be shared from this shingle on
+            starts = _runs(h, size, percent)
+            count = np.diff(np.append(starts, len(h)))
+            large = np.repeat((count > SMALL) | (np.maximum.reduceat(place, starts) >= _REPRESENTS), count)
+            stars = _stars(doc, starts, np.flatnonzero(large))
+            small = np.flatnonzero(~large)
+            run = np.repeat(np.arange(len(starts)), count)[small]
+            doc, size, left = doc[small], size[small], left[small]
+            found = [pairs]
+            for step in range(1, SMALL):  # pairs at each distance within the small runs, vectorised over all of them
+                a = np.flatnonzero(run[:-step] == run[step:]) if len(run) > step else np.zeros(0, np.int64)
+                if not len(a):
+                    break
+                b = a + step
+                fits = (100 * size[a] >= percent * size[b]) & enough(np.minimum(left[a], left[b]), size[a], size[b], percent) & (doc[a] != doc[b])
+                a, b = a[fits], b[fits]
+                found.append(np.stack([np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])], 1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+        both = np.concatenate([pairs, stars])
+        return pa.table([pa.array(np.arange(len(both)) < len(pairs)), pa.array(both[:, 0]), pa.array(both[:, 1])], ["pair", "x", "y"])
 
     return prefixes.groupBy("bucket").applyInArrow(meet, "pair boolean, x long, y long")
 
@@ -273,52 +310,87 @@ def _arrays(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return found.join(ids, "node").where("own = key").select("node", "shingles").dropDuplicates(["node"])
 
 
-def _tiles(members: DataFrame, nodes: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Candidate pairs (x, y) of different components within the large tiles. A tile's rows are dealt to blocks, and blocks
-    of the same or the next band of sizes meet, so no task holds more than two blocks. With `best`, a document only names its most
-    promising partner in each other component of a block."""
-    rows = members.join(nodes, "node").withColumn("band", F.floor(F.log("n") / F.lit(math.log(100 / percent))).cast("long"))
-    sizes = rows.groupBy("tile", "band").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias("blocks"))
-    rows = rows.join(sizes, ["tile", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    right = sizes.select("tile", F.col("band").alias("band2"), F.col("blocks").alias("blocks2"))
-    plan = sizes.join(right, "tile").where("band2 = band or band2 = band + 1")
-    plan = plan.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block2", F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1))).where("band2 > band or block2 >= block")
-    plan = plan.select("tile", "band", "block", "band2", "block2")
-    where = ["tile", "band", "block", "band2", "block2"]
-    upper = plan.join(rows.select("tile", "band", "block", "node", "component", "n", "bits"), ["tile", "band", "block"])
-    lower = plan.join(rows.select("tile", F.col("band").alias("band2"), F.col("block").alias("block2"), "node", "component", "n", "bits"), ["tile", "band2", "block2"])
-
-    lower = lower.select(*(F.col(c).alias(f"{c}_") for c in [*where, "node", "component", "n", "bits"]))  # columns of its own
-
-    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        b = b.rename_columns([c.rstrip("_") for c in b.column_names])
-        xs, ys = [], []
-        if a.num_rows and b.num_rows:
-            words = min(min(len(x) for x in t["bits"].to_pylist()) // 8 for t in (a, b))
-            bits = [np.stack([fold(np.frombuffer(x, np.uint64), words) for x in t["bits"].to_pylist()]) for t in (a, b)]
-            node, n, comp = ([t[c].to_numpy() for t in (a, b)] for c in ("node", "n", "component"))
-            now = None  # rows of one component meet the rows of all others, so copies that are joined cost nothing
-            for i in np.argsort(comp[0], kind="stable").tolist():
-                if comp[0][i] != now:
-                    now = comp[0][i]
-                    k = np.flatnonzero(comp[1] != now)
-                    far, sizes = bits[1][k], n[1][k]
-                if not len(k):
-                    continue
-                left = n[0][i] - np.bitwise_count(bits[0][i] & ~far).sum(1, dtype=np.int64)
-                right = sizes - np.bitwise_count(far & ~bits[0][i]).sum(1, dtype=np.int64)
-                room = np.minimum(left, right)
-                hit = np.flatnonzero(enough(room, n[0][i], sizes, percent))
-                if best:
-                    hit = hit[np.lexsort((-room[hit], comp[1][k[hit]]))]
-                    hit = hit[np.flatnonzero(np.append(True, np.diff(comp[1][k[hit]]) != 0))] if len(hit) else hit
-                hit = k[hit]
-                xs.append(np.full(len(hit), node[0][i]))
-                ys.append(node[1][hit])
-        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
-        return pa.table([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
-
-    return upper.groupBy(*where).cogroup(lower.groupBy(*(f"{c}_" for c in where))).applyInArrow(compare, "x long, y long").distinct()
+def forest(sets_: list[np.ndarray], label: np.ndarray, guest: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Links that join rows of different labels, enough of them to connect all that links connect. With `guest`, only pairs of a
+    guest and another row are compared."""
+    size = np.array([len(s) for s in sets_], np.int64)
+    order = np.argsort(size, kind="stable")
+    size, label = size[order], label[order].copy()
+    guest = None if guest is None else guest[order]
+    width = max(64, 1 << int(8 * size.mean() - 1).bit_length())
+    mark = np.zeros((len(size), width), np.uint8)
+    for row, k in enumerate(order.tolist()):
+        mark[row, (sets_[k] & np.uint64(width - 1)).astype(np.int64)] = 1
+    bits = np.packbits(mark, axis=1, bitorder="little").view(np.uint64)
+    del mark
+    count = np.bitwise_count(bits).sum(1, dtype=np.int64)
+    from_, upto = np.searchsorted(100 * size, percent * size), np.searchsorted(percent * size, 100 * size, "right")
+    links = []
+    for i in range(len(size)) if guest is None else np.flatnonzero(guest).tolist():
+        low, high = (i + 1 if guest is None else from_[i]), upto[i]
+        k = low + np.flatnonzero(label[low:high] != label[i] if guest is None else (label[low:high] != label[i]) & ~guest[low:high])
+        if not len(k):
+            continue
+        both = np.bitwise_count(bits[i] & bits[k]).sum(1, dtype=np.int64)
+        room = np.minimum(size[i] - count[i], size[k] - count[k]) + both
+        hit = np.flatnonzero(enough(room, size[i], size[k], percent))
+        for j in k[hit[np.argsort(-room[hit], kind="stable")]].tolist():
+            if label[j] != label[i] and enough(len(np.intersect1d(sets_[order[i]], sets_[order[j]], assume_unique=True)), size[i], size[j], percent):
+                links.append((int(order[i]), int(order[j])))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _edges(node: np.ndarray, links: list[tuple[int, int]]) -> pa.Table:
+    return pa.table([pa.array(node[[i for i, _ in links]], pa.int64()), pa.array(node[[j for _, j in links]], pa.int64())], ["u", "v"])
+
+
+def _placed(families: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """family, band, block, node: the tile of each member. A family that fits one tile has band -1."""
+    rows = families.join(nodes.select("node", "n"), "node").withColumn("band", F.floor(F.log("n") / F.lit(math.log(100 / percent))).cast("long"))
+    sizes = rows.groupBy("family", "band").agg((8 * F.sum("n")).alias("bytes"))
+    whole = sizes.groupBy("family").agg((F.sum("bytes") <= TILE_BYTES).alias("whole"))
+    sizes = sizes.join(whole, "family").select("family", "band", "whole", F.ceil(F.col("bytes") / TILE_BYTES).alias("blocks"))
+    block = F.when(F.col("whole"), F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks")))
+    return rows.join(sizes, ["family", "band"]).select("family", F.when(F.col("whole"), F.lit(-1)).otherwise(F.col("band")).cast("long").alias("band"), block.cast("long").alias("block"), "node")
+
+
+def _within(placed: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links within the tiles, and with LEADERS members of each band that the tiles of the bands around it share."""
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
+    tiles = placed.where("band >= 0").select("family", "band", "block").distinct()
+    leaders = placed.where("band >= 0").groupBy("family", "band", F.pmod(F.xxhash64("node", F.lit("leader")), F.lit(LEADERS)).alias("slot")).agg(F.min("node").alias("node"))
+    visits = leaders.select("family", near, "node").join(tiles, ["family", "band"]).select("family", "band", "block", "node")
+    rows = placed.select("family", "band", "block", "node").union(visits).distinct().join(arrays, "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        node = table["node"].to_numpy()
+        return _edges(node, forest([np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()], np.arange(len(node)), None, percent))
+
+    return rows.groupBy("family", "band", "block").applyInArrow(run, "u long, v long")
+
+
+def _across(placed: DataFrame, found: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links between tiles of a family, where it is in several components. The rows outside its largest component visit."""
+    rows = placed.where("band >= 0").join(found, "node", "left").select("family", "band", "block", "node", F.coalesce("component", "node").alias("component"))
+    parts = rows.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = parts.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("family", "largest")
+    rows = rows.join(largest, "family")
+    tiles = rows.select("family", "band", "block").distinct()
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
+    guests = rows.where("component <> largest").select("family", near, F.col("block").alias("home"), F.col("band").alias("home_band"), "node", "component").join(tiles, ["family", "band"])
+    guests = guests.where("band <> home_band or block <> home").join(arrays, "node")
+    guests = guests.select(F.col("family").alias("family_"), F.col("band").alias("band_"), F.col("block").alias("block_"), F.col("node").alias("node_"), F.col("component").alias("component_"), F.col("shingles").alias("shingles_"))
+    hosts = rows.select("family", "band", "block", "node", "component").join(arrays, "node")
+
+    def run(there: pa.Table, visiting: pa.Table) -> pa.Table:
+        if not there.num_rows or not visiting.num_rows:
+            return _edges(np.zeros(0, np.int64), [])
+        node, label = (np.append(there[c].to_numpy(), visiting[f"{c}_"].to_numpy()) for c in ("node", "component"))
+        held = [np.frombuffer(x, np.uint64) for t, c in ((there, "shingles"), (visiting, "shingles_")) for x in t[c].to_pylist()]
+        return _edges(node, forest(held, label, np.arange(len(node)) >= there.num_rows, percent))
+
+    return hosts.groupBy("family", "band", "block").cogroup(guests.groupBy("family_", "band_", "block_")).applyInArrow(run, "u long, v long")
 
 
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -326,37 +398,33 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     rows = common.materialise(sets(docs, words), "sets")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(size / BUCKET_TEXT))
-    chosen = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("key"))
-    classes = common.materialise(chosen.join(chosen.groupBy("key").agg(F.min("doc_id").alias("node")), "key").select("doc_id", "key", "node"), "classes")
-    nodes = rows.join(classes.where("doc_id = node").select("node", F.col("key").alias("own")), (F.col("doc_id") == F.col("node")) & (F.col("key") == F.col("own"))).select("node", "key", "n", "bits").dropDuplicates(["node"])
-    nodes = common.materialise(nodes.select("node", "key", "n", "bits"), "nodes")
+    chosen = common.materialise(rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("key")), "keys")
+    heads = common.materialise(chosen.groupBy("key").agg(F.min("doc_id").alias("node")), "heads")
+    classes = common.materialise(chosen.join(heads, "key").select("doc_id", "node"), "classes")
+    nodes = rows.join(heads.withColumnRenamed("key", "own"), (F.col("doc_id") == F.col("node")) & (F.col("key") == F.col("own"))).select("node", "key", "n", "bits").dropDuplicates(["node"])
+    nodes = common.materialise(nodes, "nodes")
     met = common.materialise(_meet(_prefixes(docs, hot_shingles(docs, words), buckets, words, percent), percent), "met")
     of = lambda c: classes.select(F.col("doc_id").alias(c), F.col("node").alias(f"node_{c}"))
-    pairs = met.where("pair").select("x", "y").join(of("x"), "x").join(of("y"), "y").where("node_x <> node_y")
-    pairs = pairs.select(F.least("node_x", "node_y").alias("x"), F.greatest("node_x", "node_y").alias("y")).distinct()
-    likely = common.materialise(_weigh(pairs, nodes, percent), "likely")
-    members = common.materialise(met.where("not pair").join(of("y"), "y").select(F.col("x").alias("tile"), F.col("node_y").alias("node")).distinct(), "tiles")
-    ids = likely.select(F.col("x").alias("node")).union(likely.select("y")).union(members.select("node")).distinct()
+    met = met.join(of("x"), "x").join(of("y"), "y").where("node_x <> node_y")
+    met = common.materialise(met.select("pair", F.least("node_x", "node_y").alias("x"), F.greatest("node_x", "node_y").alias("y")).distinct(), "candidates")
+    likely = common.materialise(_weigh(met.where("pair").select("x", "y"), nodes, percent), "likely")
+    stars = met.where("not pair").select(F.col("y").alias("u"), F.col("x").alias("v"))
+    families = components(stars).select("node", F.col("component").alias("family"))
+    families = common.materialise(families.union(families.select("family", "family").distinct()), "families")
+    ids = likely.select(F.col("x").alias("node")).union(likely.select("y")).union(families.select("node")).distinct()
     arrays = common.materialise(_arrays(docs, ids.join(nodes.select("node", "key"), "node"), words), "arrays")
-    first = likely.groupBy("y").agg(F.min("x").alias("x"))
-    edges = common.materialise(_verify(first.select("x", "y"), arrays, percent), "links")
-    found = components(edges)
+    # each document of a pair is first compared with its smallest partner only; pairs inside what this connects need no comparison
+    first = likely.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
+    placed = common.materialise(_placed(families, nodes, percent), "placed")
+    found = components(common.materialise(_verify(first, arrays, percent).union(_within(placed, arrays, percent)), "links"))
+    found = common.materialise(found, "found")
     label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    rest = likely.join(first, ["x", "y"], "left_anti").join(label("x"), "x", "left").join(label("y"), "y", "left").where("coalesce(cx, x) <> coalesce(cy, y)").select("x", "y")
-    edges = edges.union(common.materialise(_verify(rest, arrays, percent), "links"))
-    found = components(edges)
-    tried = likely
-    for best in (True, False):  # what the most promising partners join needs no further pairs; the second round takes all that are left
-        split = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_tiles = split.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("tile")
-        late = common.materialise(_tiles(split.join(open_tiles, "tile", "left_semi"), nodes.select("node", "n", "bits"), percent, best), "late")
-        new = late.join(tried, ["x", "y"], "left_anti")
-        if new.isEmpty():
-            continue
-        edges = edges.union(common.materialise(_verify(new, arrays, percent), "links"))
-        found = components(edges)
-        tried = tried.select("x", "y").union(late)
-    labels = classes.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
+    named = lambda pairs, x, y: pairs.join(label(x), x, "left").join(label(y), y, "left").select(x, y, F.coalesce(f"c{x}", x).alias("cx"), F.coalesce(f"c{y}", y).alias("cy")).where("cx <> cy")
+    rest = named(likely.join(first, ["x", "y"], "left_anti"), "x", "y").select("x", "y")
+    more = common.materialise(_verify(rest, arrays, percent).union(_across(placed, found, arrays, percent)), "links")
+    joined = components(named(more, "u", "v").select(F.col("cx").alias("u"), F.col("cy").alias("v")))
+    labels = classes.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("first"))
+    labels = labels.join(joined.select(F.col("node").alias("first"), "component"), "first", "left").select("doc_id", F.coalesce("component", "first").alias("component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(labels, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
