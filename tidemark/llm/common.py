@@ -1,48 +1,13 @@
-"""Session-level helpers shared by the operators: scratch space in the shared folder and Arrow plumbing."""
+"""What the operators share: scratch space and the columns they take."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_FALLBACK = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fallback set here where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{_LOCAL_FALLBACK}"
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found if ":/" in found else f"file://{found}"
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/tidemark-{label}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path; a stopped session leaves it to the owner of the shared folder."""
-    jsc = spark.sparkContext._jsc
-    if jsc is None:
-        return
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
-
+from tidemark.scratch import held, materialise, scratch_path, shared_dir, sweep, written
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df once as a table in the shared folder and read it back: lineage is cut, and a lost executor costs only its own tasks."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["doc_key", "documents", "held", "materialise", "scratch_path", "shared_dir", "shuffle_partitions", "sweep", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
