@@ -189,9 +189,11 @@ def test_land_and_guard(spark, tmp_path):
         ingest.land(rows.where("false"), str(tmp_path / "none.parquet"))
 
 
-def test_text_checks():
-    assert text.fabricated("It rose 12.35% and 99 more", '{"a": 0.12345}') == ["99"]
-    assert text.numeric_leaves({"a": [1, True, {"b": 2.5}], "c": "7"}) == [1.0, 2.5]
+def test_text_checks(spark):
+    rows = spark.createDataFrame([("It rose 12.35% and 99 more, 99 in all", '{"a": 0.12345}'), ("1000000000000.5 and 12", '{"a": 1e30, "b": {"c12": true}}'), ("2.5 or 7", None), ("17 and 250", '{"a": [1, true, {"b": 2.5}], "c": "17"}'), ("12.34", '{"a": -0.12344}')], "t string, s string")
+    out = rows.select(text.fabricated_numbers(F.col("t"), F.col("s")).alias("f"), text.stored_numbers(F.col("s")).alias("n"), text.is_quoted(F.lit(0.123451), F.col("t")).alias("q")).collect()
+    assert [r["f"] for r in out] == [["99"], ["1000000000000.5"], None, [], []]
+    assert out[3]["n"] == [1.0, 2.5] and [r["q"] for r in out] == [True, True, False, False, False]
     assert text.placeholders("{a} and {b}") == {"a", "b"}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import oracle
 import pytest
 
-from tidemark.plans import queries as plans
+from tidemark.plans import registry as plans
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,13 +26,3 @@ def test_contract(spark):
     found = entry.queries()
     assert set(entry.oracle_sql()) <= set(found)
     assert entry.entry(spark).count() > 0
-
-
-def test_artifact_round_trip(spark):
-    from tidemark.plans import artifact
-
-    made = plans.series_artifacts(spark, SF)
-    assert made.count() > 0
-    back = artifact.from_json(made)
-    assert back.where("metric = 'volatility_SI' and value > 0").count() == made.count()
-    assert made.where("artifact like '%NaN%'").count() == 0

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark import scratch
+
 
 def children(edges: DataFrame, parent: str, at) -> DataFrame:
     """Direct holdings of a parent at a date: (child, weight)."""
@@ -18,10 +20,14 @@ def look_through(edges: DataFrame, depth: int = 8) -> DataFrame:
     now = edges.select(F.col("parent").alias("root"), F.col("child").alias("node"), F.col("weight").alias("exposure"))
     done = None
     for _ in range(depth):
+        now = scratch.materialise(now, "paths")  # each level is read twice, for its leaves and for the next one
         leaves = now.join(inner, "node", "left_anti")
         done = leaves if done is None else done.unionByName(leaves)
-        now = now.join(edges, now["node"] == edges["parent"]).groupBy("root", "child").agg(F.sum(F.col("exposure") * F.col("weight")).alias("exposure")).withColumnRenamed("child", "node")
-    if not now.isEmpty():
+        further = now.join(inner, "node", "left_semi")
+        if further.isEmpty():
+            break
+        now = further.join(edges, further["node"] == edges["parent"]).groupBy("root", "child").agg(F.sum(F.col("exposure") * F.col("weight")).alias("exposure")).withColumnRenamed("child", "node")
+    else:
         raise ValueError(f"paths of over {depth} edges, or a cycle")
     return done.groupBy("root", F.col("node").alias("leaf")).agg(F.sum("exposure").alias("exposure"))
 

@@ -50,7 +50,9 @@ def deduplicate(levels: DataFrame, order: str, keep: str = "last") -> DataFrame:
 
 
 def between(rows: DataFrame, start: Column, end: Column, column: str = "date") -> DataFrame:
-    return rows.where(F.col(column).between(start, end))
+    """Both ends count; a start after the end raises."""
+    wrong = F.raise_error(F.lit("start after end")).cast("boolean")
+    return rows.where(F.when(start > end, wrong).otherwise(F.col(column).between(start, end)))
 
 
 def own_calendar(levels: DataFrame) -> DataFrame:
@@ -129,6 +131,12 @@ def as_of(levels: DataFrame, anchors: DataFrame) -> DataFrame:
     return found.where("_kind = 1").select("series_id", F.col("date").alias("anchor"), *extra, "level", "level_date")
 
 
+def provenance(levels: DataFrame) -> DataFrame:
+    """(series_id, rows, digest): a SHA-256 over each series' rows in order of date, whatever their order in the table."""
+    line = F.concat_ws("|", F.col("date").cast("string"), F.col("level").cast("string"))
+    return levels.groupBy("series_id").agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(line))), 256).alias("digest"))
+
+
 def infer_as_of(rows: DataFrame, share: float = 0.5) -> DataFrame:
     """The latest month-end that at least this share of the series has (one row)."""
     series = rows.agg(F.countDistinct("series_id").alias("series"))

@@ -11,21 +11,27 @@ PERIODS = {"1Y": 12, "3Y": 36, "5Y": 60, "SI": None}
 
 
 def figures(levels: DataFrame, at: Column, periods: dict[str, int | None] = PERIODS) -> DataFrame:
-    """series_id, period, both dates and levels, days, method and value. The anchor lies whole years back (SI: the first date); both ends
+    """The figures of all series and periods at one date. The anchor lies whole years back (SI: the first date)."""
+    first = levels.groupBy("series_id").agg(F.min("date").alias("first"))
+    named = F.array(*(F.struct(F.lit(p).alias("period"), F.lit(m).cast("int").alias("months")) for p, m in periods.items()))
+    wanted = first.select("series_id", F.explode(named).alias("p"), at.alias("end"), "first").select("series_id", "p.period", "p.months", "end", anchor(F.col("p.months"), at, F.col("first")).alias("start"))
+    return figures_for(levels, wanted)
+
+
+def anchor(months: Column, at: Column, first: Column) -> Column:
+    """Where a figure of so many months starts; null months start with the first level."""
+    return F.when(months.isNull(), first).otherwise(subtract_months(at, F.coalesce(months, F.lit(0))))
+
+
+def figures_for(levels: DataFrame, wanted: DataFrame) -> DataFrame:
+    """series_id, period, both dates and levels, days, method and value of the wanted (series_id, period, months, start, end). Both ends
     take the last level on or before them. Under 365 days the plain ratio, else a yearly rate with exponent 1 / years, or
     365 / days for SI. Ratios are decimal; a missing end or no days give a null value."""
-    first = levels.groupBy("series_id").agg(F.min("date").alias("first"))
-    rows = []
-    for period, months in periods.items():
-        start = F.col("first") if months is None else subtract_months(at, months)
-        rows.append(first.select("series_id", F.lit(period).alias("period"), F.lit(months).cast("int").alias("months"), start.alias("start"), at.alias("end")))
-    wanted = rows[0]
-    for more in rows[1:]:
-        wanted = wanted.union(more)
-    wanted = wanted.select("series_id", "period", "months", F.explode(F.array(F.struct(F.col("start").alias("anchor"), F.lit("s").alias("side")), F.struct(F.col("end").alias("anchor"), F.lit("e").alias("side")))).alias("x")).select("series_id", "x.anchor", "period", "months", "x.side")
-    found = as_of(levels, wanted)
+    # a figure's ends are its own anchors: the same series and period may be wanted at many dates
+    anchors = wanted.select("series_id", "period", "months", F.col("end").alias("at"), F.explode(F.array(F.struct(F.col("start").alias("anchor"), F.lit("s").alias("side")), F.struct(F.col("end").alias("anchor"), F.lit("e").alias("side")))).alias("x")).select("series_id", "x.anchor", "period", "months", "at", "x.side")
+    found = as_of(levels, anchors)
     side = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
-    both = found.groupBy("series_id", "period", "months").agg(side("s", "anchor").alias("start"), side("e", "anchor").alias("end"), side("s", "level").alias("start_level"), side("e", "level").alias("end_level"))
+    both = found.groupBy("series_id", "period", "months", "at").agg(side("s", "anchor").alias("start"), side("e", "anchor").alias("end"), side("s", "level").alias("start_level"), side("e", "level").alias("end_level"))
     days = F.datediff("end", "start")
     ratio = (F.col("end_level") / F.when(F.col("start_level") > 0, F.col("start_level"))).cast("double")
     years = F.when(F.col("months").isNull(), F.lit(365.0) / F.col("days")).otherwise(F.lit(12.0) / F.col("months"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,3 +61,9 @@ def rolling_sharpe(rows: DataFrame, rf: DataFrame, months: int) -> DataFrame:
     both = rows.join(F.broadcast(rf.select("ym", "f")), "ym").withColumn("x", F.col("r") - F.col("f"))
     value = F.try_divide(F.avg("x").over(frame), F.stddev_samp("x").over(frame)) * ROOT
     return both.withColumns({"_n": F.row_number().over(w), "value": value}).where(F.col("_n") >= months).select("series_id", "ym", "period_end", F.lit(months).alias("months"), "value")
+
+
+def pair_bundle(rows: DataFrame, benchmark: DataFrame, months: tuple[int, ...] = (12, 36)) -> DataFrame:
+    """Slopes and correlations over several spans, as rows."""
+    parts = [rolling_pairs(rows, benchmark, n) for n in months]
+    return reduce(DataFrame.unionByName, parts)

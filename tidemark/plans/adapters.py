@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import scratch
 from tidemark.operators import panel
 from tidemark.operators.panel import LEVEL
 
@@ -17,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _levels(rows: DataFrame, series: str, date: str, price: str) -> DataFrame:
     daily = rows.groupBy(F.col(series).alias("series_id"), F.col(date).cast("date").alias("date")).agg(F.sum(F.col(price).cast("decimal(18,2)")).alias("level"))
-    return daily.select("series_id", "date", F.col("level").cast(LEVEL).alias("level"))
+    # a row per series and day, read again by the panel, its as-of date and whatever else a query needs
+    return scratch.materialise(daily.select("series_id", "date", F.col("level").cast(LEVEL).alias("level")), "levels")
 
 
 def _priced(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:

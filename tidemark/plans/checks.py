@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.panel import month_end_of, month_index
-from tidemark.operators.record import figures
+from tidemark.operators.record import PERIODS, anchor, figures_for
 
 IDENTITY_TOLERANCE = 0.03
 RATIO_TOLERANCE = 0.15
@@ -65,12 +65,10 @@ def reconcile(published: DataFrame, levels: DataFrame, exemptions: DataFrame, la
     and a status: UNCOMPUTABLE for an unknown series, a date beyond `latest` or a window before the first level; then EXEMPT; then
     MATCH within the tolerance, else MISMATCH."""
     first = levels.groupBy("series_id").agg(F.min("date").alias("first_date"))
-    out = None
-    for day in [r["as_of"] for r in published.select("as_of").distinct().collect()]:  # factsheet dates, a handful
-        part = figures(levels, F.lit(day)).select("series_id", "period", F.lit(day).alias("as_of"), F.col("start").alias("window_start"), (F.col("value") * 100).alias("engine_pct"))
-        out = part if out is None else out.union(part)
-    if out is None:
-        out = figures(levels, F.current_date()).where("false").select("series_id", "period", F.current_date().alias("as_of"), F.col("start").alias("window_start"), F.col("value").alias("engine_pct"))
+    months = F.create_map(*(F.lit(x) for p, m in PERIODS.items() for x in (p, m)))[F.col("period")]
+    asked = published.select("series_id", "period", "as_of").distinct().join(first, "series_id")
+    wanted = asked.select("series_id", "period", months.alias("months"), anchor(months, F.col("as_of"), F.col("first_date")).alias("start"), F.col("as_of").alias("end"))
+    out = figures_for(levels, wanted.where(months.isNotNull() | (F.col("period") == "SI"))).select("series_id", "period", F.col("end").alias("as_of"), F.col("start").alias("window_start"), (F.col("value") * 100).alias("engine_pct"))
     exempt = exemptions.select("series_id", "period", "as_of").distinct().withColumn("exempt", F.lit(True))
     rows = published.join(first, "series_id", "left").join(out, ["series_id", "period", "as_of"], "left").join(exempt, ["series_id", "period", "as_of"], "left")
     difference = F.abs(F.col("engine_pct") - F.col("published_pct").cast("double")) * 100

@@ -453,9 +453,9 @@ def text_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", text.vocabulary_hits(F.col("text"), _TERMS).alias("hits"), F.size(text.numeral_tokens(F.col("text"))).cast("long").alias("numerals"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN '—' ELSE printf('%.2f%%', p_size / 64.0 * 100) END AS pct, CASE WHEN p_partkey % 11 = 0 THEN '—' ELSE printf('%.2f', p_size / 64.0) END AS ratio, CASE WHEN p_partkey % 11 = 0 THEN 'neutral' WHEN p_size > 25 THEN 'positive' WHEN p_size < 25 THEN 'negative' ELSE 'neutral' END AS sign FROM part WHERE p_size % 2 = 0")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN '—' ELSE printf('%.2f%%', p_size / 64.0 * 100) END AS pct, CASE WHEN p_partkey % 11 = 0 THEN '—' ELSE printf('%.2f', p_size / 64.0) END AS ratio, CASE WHEN p_partkey % 11 = 0 THEN 'neutral' WHEN p_size > 25 THEN 'positive' WHEN p_size < 25 THEN 'negative' ELSE 'neutral' END AS sign FROM part")
 def presentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = adapters.table(spark, sf_dir, "part").where("p_size % 2 = 0")
+    rows = adapters.table(spark, sf_dir, "part")
     share = F.when(F.col("p_partkey") % 11 != 0, F.col("p_size") / F.lit(64.0))
     away = F.when(F.col("p_partkey") % 11 != 0, F.col("p_size") - F.lit(25))
     return rows.select("p_partkey", text.show_pct(share).alias("pct"), text.show_ratio(share).alias("ratio"), text.sign_class(away).alias("sign"))
@@ -498,14 +498,6 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.event_counts(adapters.table(spark, sf_dir, "events")).withColumn("total", F.round("total", 6))
 
 
-@query()
-def series_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nested JSON artifact of each series."""
-    rows = _panels(spark, sf_dir)[1]
-    at = F.lit(adapters.as_of(rows))
-    return artifact.to_json(artifact.core_metrics(rows, adapters.rate(rows), at), at)
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volatility and Sharpe ratio of every brand since inception, with their ranks."""
     rows = _panels(spark, sf_dir, "brand")[1]

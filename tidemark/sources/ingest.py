@@ -13,6 +13,8 @@ from tidemark.operators import panel
 from tidemark.operators.panel import LEVEL
 
 DATA_DIR = "TIDEMARK_DATA_DIR"
+#: What the risk-free rate is called wherever it stands beside other series.
+RATE_ID = "risk-free"
 LEVELS = T.StructType([T.StructField("series_id", T.StringType()), T.StructField("date", T.DateType()), T.StructField("level", LEVEL)])
 RAW = "fund_house string, scheme_code string, scheme_name string, scheme_category string, scheme_start_date string, data array<struct<date: string, nav: string>>"
 MONTH_FORMATS = ("yyyy-MM-dd", "yyyy-MM", "yyyyMM", "MMM-yyyy", "MM/yyyy")
@@ -137,7 +139,7 @@ def risk_free(spark: SparkSession, path: str, date: str = "Date", rate: str = "R
     twice = out.groupBy("period_end").count().where("count > 1").take(1)
     if twice:
         raise ValueError(f"{path}: {twice[0]['period_end']} occurs twice")
-    return out.select(F.lit("risk-free").alias("series_id"), panel.month_index(F.col("period_end")).alias("ym"), "period_end", "f")
+    return out.select(F.lit(RATE_ID).alias("series_id"), panel.month_index(F.col("period_end")).alias("ym"), "period_end", "f")
 
 
 def benchmark_map(spark: SparkSession, path: str) -> DataFrame:
@@ -203,8 +205,8 @@ def parse_option(name: Column) -> Column:
 
 
 def parse_inception(text: Column) -> Column:
-    """DD-MM-YYYY; anything else is null, and the first level never stands in."""
-    return try_dates(text, ("dd-MM-yyyy",))
+    """DD-MM-YYYY, as it is or as the date of a JSON object; anything else is null, and the first level never stands in."""
+    return try_dates(F.coalesce(F.get_json_object(text, "$.date"), text), ("dd-MM-yyyy",))
 
 
 def master_records(raw: DataFrame) -> DataFrame:
@@ -218,11 +220,21 @@ def consolidate(raw: DataFrame, root: str) -> None:
     master_records(raw).sort("series_id").write.mode("overwrite").parquet(f"{root}/master.parquet")
 
 
-def land(levels: DataFrame, path: str) -> None:
-    """Overwrite a level table, range-partitioned and sorted by series and date so that footers prune; no rows raises."""
+def back_up(spark: SparkSession, path: str, suffix: str) -> bool:
+    """Move what is at a path aside, beside its name; whether there was anything."""
+    source = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(system.exists(source) and system.rename(source, spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{suffix}")))
+
+
+def land(levels: DataFrame, path: str, keep_old_as: str | None = None) -> None:
+    """Overwrite a level table, range-partitioned and sorted by series and date so that footers prune; no rows raises. With
+    `keep_old_as`, the table that was there stays under that suffix."""
     rows = levels.select("series_id", "date", F.col("level").cast(LEVEL).alias("level"))
     if rows.isEmpty():
         raise ValueError("nothing to land")
+    if keep_old_as:
+        back_up(levels.sparkSession, path, keep_old_as)
     rows.repartitionByRange("series_id", "date").sortWithinPartitions("series_id", "date").write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
 
 
