@@ -1,16 +1,20 @@
 """Nearest neighbours by cross-polytope hashing (operator 3).
 
-Each of `TABLES` tables turns unit vectors by a fast Hadamard pseudo-rotation (three rounds of random signs and a transform) and
-assigns them to the nearest signed axis. A query also probes the axes next nearest to it. Index and query rows meet per
-table and axis, in tiles of bounded size, where scores in double precision on the original vectors leave the best k of a
-tile; the best k of all tiles are the result. Rows with equal vectors are indexed once, so a group of copies costs one entry.
+Each of `TABLES` tables turns unit vectors by fast Hadamard pseudo-rotations (three rounds of random signs and a transform) and
+assigns them to the nearest signed axis of each; the axes of a row's rotations together name its cell. The first rotation has all
+axes, and further ones, of which the last may be cut to fewer coordinates, make the cells of a table grow with the number of rows, so that
+one holds CELL_ROWS / (2 x width) rows or so at every size. A query also probes the cells that cost it least, where a cell costs the sum of
+the squared distances by which its axes are further than the nearest ones. Buckets of cells, which hold ids alone, answer each
+query with ids; blocks of rows score these in double precision on the original vectors and return the best k of a block. Cells of
+more than HOT_ROWS rows are split over several buckets. Rows with equal vectors are indexed once, so a group of copies costs one entry.
+Queries for which fewer than k rows were found are scored against all rows, in the same blocks.
 
 Where norms differ, all index vectors get a further coordinate that makes them equally long; the order by inner product is then the
 order by angle.
 
 Defined results: rows whose id is null, or whose vector is null, empty, zero or holds a null or non-finite component, take no part;
-vectors only meet those of their own length; a repeated id stands once for each of its different vectors, and rows equal in
-id and vector count once; ties go to the smaller vec_id; an empty table gives no rows; other columns are ignored.
+vectors only meet those of their own length; a repeated id stands once for each of its different vectors (the others are candidates for
+each of them), and rows equal in id and vector count once; ties go to the smaller vec_id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import common
+from tidemark.llm import common, kernels
 
-TABLES = 8
-PROBES = 16
+TABLES = 42
+PROBES = 28
 NEIGHBOURS = 20
-TILE_ROWS = 16_384
+#: The cells of a table are this times fewer than the rows, after the axes of the first rotation.
+CELL_ROWS = 400
+BLOCK_ROWS = 32_768
+BUCKET_ENTRIES = 2 << 20
+HOT_ROWS = 2 << 20
 SEED = 20_240_101
-_ROW = "dim int, tbl int, axis int, i int, j int, key binary, unit binary"
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -45,25 +52,39 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def rotated(x: np.ndarray, table: int) -> np.ndarray:
-    """Pseudo-rotation of each row, padded to a power of two; the same for every task."""
+def rotated(x: np.ndarray, *which: int) -> np.ndarray:
+    """A pseudo-rotation of each row, padded to a power of two; the same for every task."""
     width = 1 << max(0, x.shape[1] - 1).bit_length()
-    signs = np.random.default_rng([SEED, table, width]).choice([-1.0, 1.0], (3, width))
+    signs = np.random.default_rng([SEED, *which, width]).choice([-1.0, 1.0], (3, width))
     x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
     for s in signs:
         x = hadamard(x * s) / math.sqrt(width)
     return x
 
 
-def axes(x: np.ndarray, table: int, probes: int) -> np.ndarray:
-    """The `probes` nearest signed axes of each row, nearest first."""
-    turned = rotated(x, table)
-    both = np.concatenate([turned, -turned], 1)
-    probes = min(probes, both.shape[1])
-    if probes == 1:
-        return both.argmax(1)[:, None]
-    top = np.argpartition(-both, probes - 1, axis=1)[:, :probes]
-    return np.take_along_axis(top, np.argsort(-np.take_along_axis(both, top, 1), 1), 1)
+def axis_counts(n: int, width: int) -> list[int]:
+    """The number of signed axes of each rotation of a table, by the number of rows: powers of two, 2 * width at most."""
+    out, wanted = [2 * width], n / CELL_ROWS
+    while wanted >= 2:
+        out.append(min(2 * width, 1 << int(math.log2(wanted))))
+        wanted /= out[-1]
+    return out
+
+
+def cells(x: np.ndarray, table: int, counts: list[int], probes: int) -> np.ndarray:
+    """The `probes` cells of each row that cost least, cheapest first."""
+    cell, cost = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
+    for number, axes in enumerate(counts):
+        turned = rotated(x, table, number)[:, : axes // 2]
+        both = np.concatenate([turned, -turned], 1)
+        far = np.square(both.max(1, keepdims=True) - both)
+        axis = np.argpartition(far, min(probes, axes) - 1, axis=1)[:, :probes]
+        # the cheapest cells begin with the cheapest ones of the rotations before
+        cost = (cost[:, :, None] + np.take_along_axis(far, axis, 1)[:, None, :]).reshape(len(x), -1)
+        cell = (cell[:, :, None] * axes + axis[:, None, :]).reshape(len(x), -1)
+        best = np.argsort(cost, axis=1, kind="stable")[:, :probes]
+        cell, cost = np.take_along_axis(cell, best, 1), np.take_along_axis(cost, best, 1)
+    return cell
 
 
 def _vectors(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +96,9 @@ def _vectors(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def valid_vectors(table: DataFrame) -> DataFrame:
-    """vec_id, key (a digest of the vector), vec (doubles as bytes), dim and norm of the rows that take part."""
+    """vec_id, key (a digest of the vector), vid (its first 8 bytes), vec (the components as bytes, of their own width), dim and norm of
+    the rows that take part."""
+    kind = _kind(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,32 +107,38 @@ def valid_vectors(table: DataFrame) -> DataFrame:
             for vec_id, a, b in zip(batch.column("vec_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 x = flat[a:b] + 0.0  # no negative zeros
                 if vec_id is not None and len(x) and np.isfinite(x).all() and x.any():
-                    raw = x.tobytes()
-                    out.append((vec_id, hashlib.blake2b(raw, digest_size=16).digest(), raw, len(x), float(np.sqrt(x @ x))))
-            names, kinds = ["vec_id", "key", "vec", "dim", "norm"], [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.float64()]
-            yield pa.record_batch([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names)
+                    raw = x.astype(kind).tobytes()
+                    key = hashlib.blake2b(raw, digest_size=16).digest()
+                    out.append((vec_id, key, int.from_bytes(key[:8], "little", signed=True), raw, len(x), float(np.sqrt(x @ x))))
+            names, kinds = ["vec_id", "key", "vid", "vec", "dim", "norm"], [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.float64()]
+            yield pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names)
+
+    return table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "vec_id long, key binary, vid long, vec binary, dim int, norm double")
+
 
-    return table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "vec_id long, key binary, vec binary, dim int, norm double")
+def _kind(table: DataFrame) -> str:
+    """Single precision holds what it is given exactly; everything else is kept as doubles."""
+    return "<f4" if table.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
 
 
 def _smallest_ids(rows: DataFrame, keep: int) -> DataFrame:
-    """key, vec, dim and the `keep` smallest ids of each distinct vector; tasks trim their own lists first."""
+    """key, vid, vec, dim and the `keep` smallest ids of each distinct vector; tasks trim their own lists first."""
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: dict[bytes, list] = {}
-            for vec_id, key, vec, dim in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "key", "vec", "dim")), strict=True):
-                held.setdefault(key, [vec, dim, set()])[2].add(vec_id)
-            yield pa.record_batch([pa.array(list(held), pa.binary()), pa.array([h[0] for h in held.values()], pa.binary()), pa.array([h[1] for h in held.values()], pa.int32()), pa.array([sorted(h[2])[:keep] for h in held.values()], pa.list_(pa.int64()))], ["key", "vec", "dim", "ids"])
+            for vec_id, key, vid, vec, dim in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "key", "vid", "vec", "dim")), strict=True):
+                held.setdefault(key, [vid, vec, dim, set()])[3].add(vec_id)
+            first = [pa.array([h[k] for h in held.values()], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.int32()))]
+            yield pa.record_batch([pa.array(list(held), pa.binary()), *first, pa.array([sorted(h[3])[:keep] for h in held.values()], pa.list_(pa.int64()))], ["key", "vid", "vec", "dim", "ids"])
 
-    trimmed = rows.select("vec_id", "key", "vec", "dim").mapInArrow(trim, "key binary, vec binary, dim int, ids array<long>")
+    trimmed = rows.select("vec_id", "key", "vid", "vec", "dim").mapInArrow(trim, "key binary, vid long, vec binary, dim int, ids array<long>")
     ids = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep)
-    return trimmed.groupBy("key").agg(F.first("vec").alias("vec"), F.first("dim").alias("dim"), ids.alias("ids"))
+    return trimmed.groupBy("key").agg(*(F.first(c).alias(c) for c in ("vid", "vec", "dim")), ids.alias("ids"))
 
 
-def _hashed(rows: DataFrame, tables: int, probes: int, longest: float | None, own: str, tiles: int, other: str, copies: int) -> DataFrame:
-    """A row for each table and probed axis. `own` is the tile coordinate that a row's key decides (of `tiles`), `other` the one
-    for which a row goes to each of `copies` tiles. `longest`: extend index vectors to this norm."""
+def _slots(rows: DataFrame, kind: str, tables: int, probes: int, n: int, longest: float | None, index: bool) -> DataFrame:
+    """slot (a hash of width, table and cell) and vid, a row for each table and probed cell. `longest`: extend index vectors to this norm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,75 +147,149 @@ def _hashed(rows: DataFrame, tables: int, probes: int, longest: float | None, ow
                 part = batch.filter(pa.array(dims == dim))
                 for at in range(0, part.num_rows, 1000):
                     some = part.slice(at, 1000)
-                    keys, raw = some.column("key").to_pylist(), some.column("vec").to_pylist()
-                    x = np.frombuffer(b"".join(raw)).reshape(-1, dim)
+                    x = np.frombuffer(b"".join(some.column("vec").to_pylist()), kind).reshape(-1, dim).astype(np.float64)
                     norm = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
                     if longest is not None:
-                        more = np.sqrt(np.maximum(longest**2 - norm**2, 0)) if own == "i" else np.zeros_like(norm)
-                        x = np.concatenate([x / (longest if own == "i" else norm), more / longest], 1)
+                        more = np.sqrt(np.maximum(longest**2 - norm**2, 0)) if index else np.zeros_like(norm)
+                        x = np.concatenate([x / (longest if index else norm), more / longest], 1)
                     else:
                         x = x / norm
-                    block = np.array([int.from_bytes(k[:8], "little") % tiles for k in keys])
-                    for t in range(tables):
-                        found = axes(x, t, probes)
-                        n, p = found.shape
-                        row = np.repeat(np.arange(n), p * copies)
-                        coordinate = {own: block[row], other: np.tile(np.arange(copies), n * p)}
-                        yield pa.record_batch(
-                            [pa.array(np.full(len(row), dim), pa.int32()), pa.array(np.full(len(row), t), pa.int32()), pa.array(np.repeat(found.ravel(), copies), pa.int32()), pa.array(coordinate["i"], pa.int32()), pa.array(coordinate["j"], pa.int32()), some.column("key").take(pa.array(row)), some.column("vec").take(pa.array(row))],
-                            ["dim", "tbl", "axis", "i", "j", "key", "unit"],
-                        )
+                    counts = axis_counts(n, 1 << max(0, x.shape[1] - 1).bit_length())
+                    found = np.concatenate([kernels.mix(cells(x, t, counts, probes).astype(np.uint64) + np.uint64(dim << 48 | t << 40)) for t in range(tables)], 1)
+                    vid = np.repeat(some.column("vid").to_numpy(), found.shape[1])
+                    yield pa.record_batch([pa.array(found.ravel().view(np.int64)), pa.array(vid)], ["slot", "vid"])
+
+    return rows.select("vid", "vec", "dim").mapInArrow(run, "slot long, vid long")
+
+
+def _dealt(slots: DataFrame, buckets: int, hot: np.ndarray, parts: np.ndarray, index: bool) -> DataFrame:
+    """The slots and ids by bucket, packed. Of a hot slot, an index row goes to one of its parts and a query to each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot, vid = batch.column("slot").to_numpy(), batch.column("vid").to_numpy()
+            part = np.zeros(len(slot), np.int64)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, slot), len(hot) - 1)
+                n = np.where(hot[at] == slot, parts[at], 1)
+                if index:
+                    part = (vid.view(np.uint64) >> np.uint64(8)).astype(np.int64) % n
+                else:
+                    slot, vid = np.repeat(slot, n), np.repeat(vid, n)
+                    part = np.arange(len(slot)) - np.repeat(np.cumsum(n) - n, n)
+            bucket = (kernels.mix(slot.view(np.uint64) + part.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((slot, bucket))
+            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            spans = [order[a:b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True)]
+            yield pa.record_batch([pa.array(bucket[order][cuts]), pa.array([slot[x].tobytes() for x in spans], pa.binary()), pa.array([vid[x].tobytes() for x in spans], pa.binary())], ["bucket", "slots", "vids"])
+
+    return slots.mapInArrow(run, "bucket long, slots binary, vids binary")
+
+
+def _met(probes: DataFrame, index: DataFrame, blocks: int) -> DataFrame:
+    """block, query (vid) and vids: the ids that share a cell with a query, by block of rows."""
+
+    def meet(asking: pa.Table, there: pa.Table) -> pa.Table:
+        names, kinds = ["block", "query", "vids"], [pa.int64(), pa.int64(), pa.binary()]
+        if not asking.num_rows or not there.num_rows:
+            return pa.table([pa.array([], t) for t in kinds], names)
+        (slot, vid), (wanted, query) = ([np.frombuffer(b"".join(t[c].to_pylist()), np.int64) for c in ("slots", "vids")] for t in (there, asking))
+        order = np.argsort(slot, kind="stable")
+        slot, vid = slot[order], vid[order]
+        place = np.argsort(query, kind="stable")
+        query, wanted = query[place], wanted[place]
+        low, high = np.searchsorted(slot, wanted), np.searchsorted(slot, wanted, "right")
+        new = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+        out = []
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(query)], strict=True):
+            found = np.unique(np.concatenate([vid[i:j] for i, j in zip(low[a:b].tolist(), high[a:b].tolist(), strict=True)]))
+            block = found % blocks
+            for k in np.unique(block).tolist():
+                out.append((k, int(query[a]), found[block == k].tobytes()))
+        return pa.table([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names)
+
+    return probes.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(meet, "block long, query long, vids binary")
+
+
+def _scored(asked: DataFrame, index: DataFrame, blocks: int, kind: str, k: int) -> DataFrame:
+    """query, found (keys) and score: the best k + 1 of a block, with ties, among the ids that `asked` (block, key, vec, dim, vids) lists for
+    each query; null vids ask for all rows of the query's length."""
+    there = index.select(F.pmod("vid", F.lit(blocks)).alias("of"), F.col("vid").alias("own"), F.col("key").alias("found"), F.col("vec").alias("components"), F.col("dim").alias("length"))
+
+    def best(asking: pa.Table, held: pa.Table) -> pa.Table:
+        left, right, scores = [], [], []
+        length, own = held["length"].to_numpy(), held["own"].to_numpy()
+        rows = {}
+        for dim in np.unique(length).tolist():
+            at = np.flatnonzero(length == dim)
+            at = at[np.argsort(own[at], kind="stable")]
+            raw = held["components"].combine_chunks().take(pa.array(at)).to_pylist()
+            rows[dim] = (at, own[at], np.frombuffer(b"".join(raw), kind).reshape(-1, dim).astype(np.float64))
+        lists: dict[bytes, list] = {}
+        for key, vec, dim, vids in zip(*(asking[c].to_pylist() for c in ("key", "vec", "dim", "vids")), strict=True):
+            lists.setdefault(key, [vec, dim, []])[2].append(vids)
+        for key, (vec, dim, vids) in lists.items():
+            if dim not in rows:
+                continue
+            at, own, v = rows[dim]
+            if any(x is None for x in vids):
+                here = np.arange(len(at))
+            else:
+                wanted = np.unique(np.frombuffer(b"".join(vids), np.int64))
+                low, high = np.searchsorted(own, wanted), np.searchsorted(own, wanted, "right")
+                here = low[high > low]
+                if (high - low).max(initial=0) > 1:  # different vectors with equal ids
+                    here = np.concatenate([np.arange(i, j) for i, j in zip(low.tolist(), high.tolist(), strict=True)])
+            score = np.einsum("ij,j->i", v[here], np.frombuffer(vec, kind).astype(np.float64))
+            if len(here) > k + 1:
+                # ties with the last one stay: their ids decide
+                some = np.flatnonzero(score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1])
+                here, score = here[some], score[some]
+            left += [key] * len(here)
+            right.append(at[here])
+            scores.append(score)
+        right = np.concatenate(right) if right else np.zeros(0, np.int64)
+        return pa.table([pa.array(left, pa.binary()), held["found"].combine_chunks().take(pa.array(right)), pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["query", "found", "score"])
 
-    return rows.select("key", "vec", "dim").mapInArrow(run, _ROW)
+    return asked.groupBy("block").cogroup(there.groupBy("of")).applyInArrow(best, "query binary, found binary, score double")
 
 
-def search(table: DataFrame, is_query, k: int = NEIGHBOURS, tables: int = TABLES, probes: int = PROBES, tile_rows: int = TILE_ROWS) -> DataFrame:
+def search(table: DataFrame, is_query, k: int = NEIGHBOURS, tables: int = TABLES, probes: int = PROBES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest rows found for each row for which the Column `is_query` (over vec_id)
     holds, itself excluded."""
+    kind = _kind(table)
     rows = common.materialise(valid_vectors(table), "vectors")
     index = common.materialise(_smallest_ids(rows, k + 1), "distinct")
-    queries = rows.where(is_query).select("key", "vec", "dim").dropDuplicates(["key"])
+    queries = common.materialise(rows.where(is_query).select("key", "vid", "vec", "dim").dropDuplicates(["key"]), "queries")
     spread = rows.agg(F.min("norm").alias("low"), F.max("norm").alias("high")).first()
     longest = spread["high"] if spread["high"] and spread["low"] < 0.999 * spread["high"] else None
-    n, nq, narrow = index.count(), queries.count(), (index.agg(F.min("dim")).first()[0] or 1)
-    share = 2 << max(0, narrow - 1).bit_length()  # axes of a table
-    tiles_i, tiles_j = max(1, math.ceil(n / share / tile_rows)), max(1, math.ceil(nq * min(probes, share) / share / tile_rows))
-    left = _hashed(queries, tables, probes, longest, "j", tiles_j, "i", tiles_i)
-    right = _hashed(index, tables, 1, longest, "i", tiles_i, "j", tiles_j)
-    where = ["dim", "tbl", "axis", "i", "j"]
-
-    def best(wanted: pa.Table, there: pa.Table) -> pa.Table:
-        names, kinds = ["query", "found", "score"], [pa.binary(), pa.binary(), pa.float64()]
-        if not wanted.num_rows or not there.num_rows:
-            return pa.table([pa.array([], t) for t in kinds], names)
-        dim = wanted["dim"][0].as_py()
-        doubles = lambda t: np.frombuffer(b"".join(t["unit"].to_pylist())).reshape(-1, dim)
-        q, v = doubles(wanted), doubles(there)
-        left_rows, right_rows, scores = [], [], []
-        step = max(1, (4 << 20) // len(v))
-        for at in range(0, len(q), step):
-            s = q[at : at + step] @ v.T
-            if len(v) > k + 1:
-                # ties with the last one stay: their ids decide
-                least = np.partition(s, len(v) - k - 1, axis=1)[:, len(v) - k - 1, None]
-                row, col = np.nonzero(s >= least)
-            else:
-                row, col = np.nonzero(np.ones_like(s, bool))
-            left_rows.append(row + at)
-            right_rows.append(col)
-        row, col = np.concatenate(left_rows), np.concatenate(right_rows)
-        scores = np.einsum("ij,ij->i", q[row], v[col])
-        return pa.table([wanted["key"].combine_chunks().take(pa.array(row)), there["key"].combine_chunks().take(pa.array(col)), pa.array(scores)], names)
-
-    pairs = left.groupBy(*where).cogroup(right.groupBy(*where)).applyInArrow(best, "query binary, found binary, score double")
-    pairs = pairs.groupBy("query", "found").agg(F.first("score").alias("score"))
+    n, nq = index.count(), queries.count()
+    blocks, buckets = max(1, math.ceil(n / block_rows)), max(1, math.ceil((n * tables + nq * tables * probes) / BUCKET_ENTRIES))
+    coded = _slots(index, kind, tables, 1, n, longest, True)
+    hot, parts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if n > HOT_ROWS:  # else no cell can be hot; there are tables * n / HOT_ROWS of these at most
+        coded = common.materialise(coded, "slots")
+        found = coded.groupBy("slot").count().where(F.col("count") > HOT_ROWS).orderBy("slot").toArrow()
+        hot, parts = found["slot"].to_numpy(), -(-found["count"].to_numpy() // HOT_ROWS)
+    met = _met(_dealt(_slots(queries, kind, tables, probes, n, longest, False), buckets, hot, parts, False), _dealt(coded, buckets, hot, parts, True), blocks)
+    asked = met.join(queries.withColumnRenamed("vid", "query"), "query").select("block", "key", "vec", "dim", "vids")
+    pairs = common.materialise(_scored(asked, index, blocks, kind, k), "scored")
+    sizes = index.select(F.col("key").alias("found"), "dim", F.size("ids").alias("n"))
+    there = sizes.groupBy("dim").agg(F.least(F.sum("n"), F.lit(k + 1)).alias("there"))
+    reached = pairs.join(sizes, "found").groupBy("query").agg(F.sum("n").alias("n"))
+    short = queries.join(there, "dim").join(reached, F.col("key") == F.col("query"), "left").where(F.coalesce("n", F.lit(0)) < F.col("there"))
+    short = common.materialise(short.select("key", "vec", "dim"), "short")
+    if not short.isEmpty():
+        every = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "key", "vec", "dim", F.lit(None).cast("binary").alias("vids"))
+        pairs = pairs.join(short.select(F.col("key").alias("query")), "query", "left_anti").union(_scored(every, index, blocks, kind, k))
     pairs = pairs.join(index.select(F.col("key").alias("found"), "ids"), "found")
     # k + 1 distinct vectors hold k rows beside the query; equal scores of several vectors are told apart by single ids below
     near = pairs.withColumn("place", F.rank().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("place") <= k + 1)
-    listed = near.select("query", "score", F.explode("ids").alias("vec_id"))
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    listed = near.select("query", "found", "score", F.explode("ids").alias("vec_id"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "found")
     listed = listed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
-    packed = listed.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("near"))
-    asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("key").alias("query")).distinct()
-    answers = asked.join(packed, "query").select("query_id", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("near"))
+    packed = listed.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score", "found"))).alias("near"))
+    asking = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("key").alias("query")).distinct()
+    others = F.filter("near", lambda x: (x["vec_id"] != F.col("query_id")) | (x["found"] != F.col("query")))
+    answers = asking.join(packed, "query").select("query_id", F.slice(others, 1, k).alias("near"))
     return answers.select("query_id", F.posexplode("near").alias("pos", "hit")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
