@@ -3,8 +3,10 @@
 Documents become ids with an end id; those longer than a sequence are cut so that only their first piece may be shorter.
 Full pieces are sequences of their own. The others are dealt to shards by a hash of their key, and each shard places them,
 longest first, into the open sequence for which the sum over gaps of the squared number of open sequences with that gap
-becomes smallest; ties go to the smallest gap, and a new sequence begins only where no open one fits. Sequences that end with a gap are opened again and their pieces
-are packed in a further round with fewer shards, until one shard holds what is left. A task holds `shard_items` pieces.
+becomes smallest; ties go to the smallest gap, and a new sequence begins only where no open one fits. Sequences that end with a gap are
+opened again and their pieces are packed in a further round with fewer shards, until one shard holds what is left, or until a
+round fills hardly a sequence: then nothing more fits together, and all stay as they are. A task never holds more than some
+`shard_items` pieces.
 
 Defined results: a null or empty text is one piece that holds only the end id; repeated rows and null doc_ids each keep
 their pieces; an empty table gives no rows; other columns are ignored.
@@ -26,6 +28,8 @@ from tidemark.llm import bpe, common, kernels
 CAPACITY = 1024
 END_ID = 2
 SHARD_ITEMS = 50_000
+#: A round that leaves more than this share of its pieces in sequences with a gap is the last one.
+STALLED = 0.9
 NEVER = np.iinfo(np.int64).max
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = f"{_PIECES}, sequence_id long, offset long, closed boolean"
@@ -119,17 +123,16 @@ def pack(found: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_IT
     count = rest.count()
     while count:
         shards = max(1, math.ceil(count / shard_items))
-        last = shards == 1 or number == 60
-        placed = _pack_round(rest, shards, number, last, capacity)
-        if not last:
+        placed = _pack_round(rest, shards, number, shards == 1, capacity)
+        if shards > 1:
             placed = common.materialise(placed, f"packed{number}")
+            before, count = count, placed.where("not closed").count()
+            if count > STALLED * before:
+                placed = placed.withColumn("closed", F.lit(True))
         done.append(placed.where("closed").drop("closed"))
-        if last:
+        if shards == 1 or count > STALLED * before:
             break
         rest, number = placed.where("not closed").drop("sequence_id", "offset", "closed"), number + 1
-        before, count = count, rest.count()
-        if count > 0.9 * before:  # nothing fits together any more: the next round closes all
-            shard_items = max(shard_items, count)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
