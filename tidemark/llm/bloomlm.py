@@ -104,12 +104,13 @@ def segment(h: np.ndarray, count: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(out, bitorder="little")
 
 
-def probe(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The level of each key, 0 where it is not held; the filter is a (buckets, bytes) table of segments."""
+def probe(filter_: np.ndarray, h: np.ndarray, top: int) -> np.ndarray:
+    """The level of each key, 0 where it is not held, `top` (the highest level stored) at most; the filter is a (buckets, bytes)
+    table of segments."""
     buckets, size = filter_.shape
     out, live, level = np.zeros(len(h), np.int64), np.arange(len(h)), 1
     flat, base = filter_.reshape(-1), bucket_of(h, buckets) * size
-    while len(live):
+    while len(live) and level <= top:
         x, step = _seeds(h[live], level)
         for k in range(PROBES):
             at = ((x + step * np.uint64(k)) % np.uint64(8 * size)).astype(np.int64)
@@ -147,7 +148,7 @@ def _schema(cells: list[str], sums: list[str]) -> str:
 def _blocked(docs: DataFrame, blocks: int) -> DataFrame:
     """doc_id, held_out, text and block; the block does not depend on how the table is stored."""
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(HELD_OUT)) == 0, F.lit(False))
-    return common.doc_key(docs).select("doc_id", held.alias("held_out"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"))
+    return common.doc_key(docs).select("doc_id", held.alias("held_out"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
 
 
 def segment_bits(count: np.ndarray) -> int:
@@ -188,7 +189,8 @@ def _gathered(docs: DataFrame, blocks: int, buckets: int) -> DataFrame:
         known = [c > 0 for c in counts]
         held, stored = (np.concatenate([x[k] for x, k in zip(xs, known, strict=True)]) for xs in (keys, counts))
         filter_ = segment(held, stored, segment_bits(stored))[None, :]
-        level = [probe(filter_, key).astype(np.uint8) for key in keys]
+        top = int(levels(stored).max(initial=0))
+        level = [probe(filter_, key, top).astype(np.uint8) for key in keys]
         rows, sums = [], (int(known[0].sum()), int(counts[0].sum()))
         for block, bucket, words, pairs in zip(table["block"].to_pylist(), table["bucket"].to_pylist(), *hs, strict=True):
             at, pair_at = np.searchsorted(keys[0], words), np.searchsorted(keys[1], pairs)
