@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import common, files
 
 MAGIC = b"WARC/1.1\r\n"
+_MAGICS = re.compile(rb"WARC/1\.[01]\r\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 ROTATE = 256 << 20
@@ -94,37 +96,45 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> list[tuple[str
     return sorted((r["file"], r["size"]) for r in written.collect())
 
 
+def _header(raw: bytes) -> tuple[dict[bytes, bytes], int] | None:
+    """The fields of a record's head by lower-case name, in any order, and its length; None where the bytes are no head."""
+    end = raw.find(b"\r\n\r\n")
+    if end < 0 or not raw.startswith(b"WARC/1."):
+        return None
+    fields = (x.split(b":", 1) for x in raw[:end].split(b"\r\n")[1:] if b":" in x)
+    return {name.strip().lower(): value.strip() for name, value in fields}, end + 4
+
+
+def _number(value: bytes | None) -> int | None:
+    return int(value) if value and re.fullmatch(rb"-?\d{1,18}", value) else None
+
+
 def parse(data: memoryview, at: int) -> tuple | None:
     """(length, page_id, payload_bytes, digest, type, refers_to, intact) of the record that begins at `at`, or None where
-    the bytes are no whole record."""
+    the bytes are no whole record. Records of other types, or without an HTTP head, are links of the chain without payload."""
     raw = bytes(data[at : at + HEADER_LIMIT])
-    end = raw.find(b"\r\n\r\n")
-    if end < 0 or not raw.startswith(MAGIC):
+    found = _header(raw)
+    size = _number(found[0].get(b"content-length")) if found else None
+    if size is None or size < 0 or b"warc-type" not in found[0]:
         return None
-    fields = dict(x.split(b": ", 1) for x in raw[len(MAGIC) : end].split(b"\r\n") if b": " in x)
-    try:
-        size, kind = int(fields[b"Content-Length"]), fields[b"WARC-Type"].decode()
-        number = lambda name: None if fields[name] == b"-" else int(fields[name])
-        page_id, refers = number(b"X-Page-Id"), number(b"X-Refers-To-Page-Id") if kind == "revisit" else None
-        digest = fields[b"WARC-Payload-Digest"].decode().removeprefix("sha1:")
-    except (KeyError, ValueError):
-        return None
-    body = at + end + 4
-    if size < 0 or body + size + 4 > len(data) or data[body + size : body + size + 4] != b"\r\n\r\n":
+    fields, head = found
+    body = at + head
+    if body + size + 4 > len(data) or data[body + size : body + size + 4] != b"\r\n\r\n":
         return None
+    kind, length = fields[b"warc-type"].decode("utf-8", "replace"), body + size + 4 - at
+    page_id, refers = _number(fields.get(b"x-page-id")), _number(fields.get(b"x-refers-to-page-id"))
+    digest = fields.get(b"warc-payload-digest", b"").decode("utf-8", "replace").removeprefix("sha1:")
     block = data[body : body + size]
     http = bytes(block[:HEADER_LIMIT])
     split = http.find(b"\r\n\r\n")
-    length = re.search(rb"\r\nContent-Length: (\d+)\r\n", http[: split + 2])
-    if split < 0 or not length:
-        return None
-    full = int(length[1])
+    if kind not in ("response", "revisit") or split < 0:
+        return length, page_id, None, digest, kind, refers, True
+    told = re.search(rb"\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n", http[: split + 2], re.IGNORECASE)
     if kind == "revisit":
-        intact = size == split + 4
-    else:
-        payload = block[split + 4 :]
-        intact = len(payload) == full and base32_sha1(payload) == digest
-    return body + size + 4 - at, page_id, full, digest, kind, refers, intact
+        return length, page_id, int(told[1]) if told else None, digest, kind, refers, size == split + 4
+    payload = block[split + 4 :]
+    intact = (not told or len(payload) == int(told[1])) and (not digest or base32_sha1(payload) == digest)
+    return length, page_id, len(payload), digest or base32_sha1(payload), kind, None, intact
 
 
 def candidates(spark: SparkSession, listed: list[tuple[str, int]], step: int = RANGE) -> DataFrame:
@@ -139,15 +149,15 @@ def candidates(spark: SparkSession, listed: list[tuple[str, int]], step: int = R
                 with system.open_input_file(path) as f:
                     f.seek(lo)
                     data = f.read(min(size - lo, step + len(MAGIC) - 1))
-                    at = data.find(MAGIC)
-                    while 0 <= at < step:
+                    for at in (m.start() for m in _MAGICS.finditer(data)):
+                        if at >= step:
+                            break
                         found = parse(memoryview(data), at)
                         if found is None and lo + len(data) < size:  # it may end beyond what has been read
                             more = _whole(f, lo + at, size)
                             found = parse(memoryview(more), 0) if more else None
                         if found:
                             rows.append((file, lo + at, lo + at + found[0], size, *found[1:]))
-                        at = data.find(MAGIC, at + 1)
                 yield pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(_FIELDS)}, schema=_ARROW)
 
     return spark.createDataFrame(ranges, "file string, size long, lo long").repartition(max(1, len(ranges)), "file", "lo").mapInArrow(run, _RECORD)
@@ -159,13 +169,12 @@ _ARROW = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "boolean": p
 def _whole(f, at: int, size: int) -> bytes | None:
     """The bytes of the record at `at`, by the length in its header, or None where there is none."""
     f.seek(at)
-    head = f.read(min(HEADER_LIMIT, size - at))
-    end = head.find(b"\r\n\r\n")
-    length = re.search(rb"\r\nContent-Length: (\d{1,18})$", head[:end]) if end >= 0 else None
-    if not length or at + end + 4 + int(length[1]) + 4 > size:
+    found = _header(f.read(min(HEADER_LIMIT, size - at)))
+    length = _number(found[0].get(b"content-length")) if found else None
+    if length is None or length < 0 or at + found[1] + length + 4 > size:
         return None
     f.seek(at)
-    return f.read(end + 4 + int(length[1]) + 4)
+    return f.read(found[1] + length + 4)
 
 
 def reachable(at: np.ndarray, following: np.ndarray, size: int) -> np.ndarray:
@@ -190,11 +199,13 @@ def reachable(at: np.ndarray, following: np.ndarray, size: int) -> np.ndarray:
 
 
 def read(spark: SparkSession, listed: list[tuple[str, int]], step: int = RANGE) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to and intact of every record in the files."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to and intact of every response and revisit in the files. Archives of
+    other writers are read too, if not compressed: page_id is null there, and records of other types are only links of the chain."""
 
     def chain(table: pa.Table) -> pa.Table:
         kept = reachable(table["at"].to_numpy(), table["next"].to_numpy(), table["size"][0].as_py())
-        return table.filter(pa.array(kept)).select(_FIELDS[4:])
+        held = table.filter(pa.array(kept))
+        return held.filter(pc.is_in(held["record_type"], pa.array(["response", "revisit"]))).select(_FIELDS[4:])
 
     return candidates(spark, listed, step).groupBy("file").applyInArrow(chain, ", ".join(_RECORD.split(", ")[4:]))
 
