@@ -6,7 +6,8 @@ adjacent parts: the smallest rank is looked for by a scan, one boundary is delet
 refreshed. Words of over 64 bytes take the same merges in the same order from a heap, so none costs the square of its length.
 
 Defined results: a null text is empty and has no ids; repeated rows each get their row; other columns are ignored; a null
-doc_id is kept as null. A file with other pre-tokenizers, normalisers or post-processing is refused when loaded.
+doc_id is kept as null. A file with other pre-tokenizers, normalisers or post-processing, or with added tokens that take
+their surroundings along, is refused when loaded.
 """
 
 from __future__ import annotations
@@ -123,6 +124,8 @@ class Bpe:
         pre, model = spec["pre_tokenizer"], spec["model"]
         if spec["normalizer"] or spec["post_processor"] or pre != pre | {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True} or model.get("ignore_merges"):
             raise ValueError(f"{path}: only plain byte-level BPE is supported")
+        if any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError(f"{path}: added tokens that take their surroundings along are not supported")
         symbols = byte_symbols()
         of_symbol = {s: b for b, s in enumerate(symbols)}
         vocab: dict[str, int] = model["vocab"]
