@@ -67,7 +67,21 @@ def _assembled(spark: SparkSession, sf_dir: str) -> dict:
     return {"levels": levels, "rows": rows, "other": other, "rf": rf, "at": at, "facts": facts, "alpha": alpha}
 
 
+#: The scratch tables of the last artifacts made of a folder, and what reads them.
+_kept: dict[tuple[str, str], tuple[set[str], tuple[dict, DataFrame, DataFrame]]] = {}
+
+
 def _artifacts(spark: SparkSession, sf_dir: str) -> tuple[dict, DataFrame, DataFrame]:
+    """What the artifact is made of, the artifacts and their head; made once per folder while its scratch tables are there."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _kept or not _kept[key][0] <= scratch.held():
+        before = scratch.held()
+        out = _make(spark, sf_dir)
+        _kept[key] = (scratch.held() - before, out)
+    return _kept[key][1]
+
+
+def _make(spark: SparkSession, sf_dir: str) -> tuple[dict, DataFrame, DataFrame]:
     m = _assembled(spark, sf_dir)
     panels = scratch.materialise(assembly.points(m["rows"], m["other"], m["rf"]), "points")
     values = scratch.materialise(assembly.ranked_values(m["facts"], m["alpha"]), "values")
@@ -155,13 +169,13 @@ def refused_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_FACTS + ", pv AS (" + " UNION ALL ".join(f"SELECT series_id, {k} AS place, '{label}' AS label, '{w}' AS \"window\", " + (f"max(value) FILTER (key = 'return_{w}') - max(value) FILTER (key = 'excess_return_{w}')" if name == "benchmark_return" else f"max(value) FILTER (key = '{name}_{w}')") + f" AS value, {is_pct} AS is_pct FROM ft GROUP BY 1" for k, (name, label, is_pct, _) in enumerate(site.ROWS) for w in artifact.RELATIVE_WINDOWS) + f") SELECT series_id, CAST(place AS INTEGER) AS place, label, \"window\", is_pct, {s7('value', 'value')} FROM pv")
 def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of each series' table of figures."""
-    return site.metric_rows(_assembled(spark, sf_dir)["facts"]).select("series_id", "place", "label", "window", "is_pct", _shown("value"))
+    return site.metric_rows(_artifacts(spark, sf_dir)[0]["facts"]).select("series_id", "place", "label", "window", "is_pct", _shown("value"))
 
 
 @query(_FACTS + ", rk3 AS (SELECT series_id, CASE WHEN value IS NOT NULL THEN least(100, greatest(0, 100 + 100.0 / n - p)) END AS rank FROM (SELECT *, 100 * cume_dist() OVER (PARTITION BY value IS NULL ORDER BY value) p, count(*) OVER (PARTITION BY value IS NULL) n FROM rv WHERE key = 'return_3Y')) SELECT row_number() OVER (ORDER BY rank NULLS LAST, series_id) AS place, series_id, " + q8("rank") + ", " + ", ".join(s7(f"(SELECT value FROM ft WHERE ft.series_id = rk3.series_id AND key = '{k}')", n) for k, n in (("return_1Y", "return_1Y"), ("excess_return_3Y", "excess_return_3Y"), ("volatility_3Y", "volatility"), ("sharpe_3Y", "sharpe"))) + " FROM rk3")
 def index_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index page's rows in their order."""
-    m = _assembled(spark, sf_dir)
+    m = _artifacts(spark, sf_dir)[0]
     rows = site.index_table(m["facts"], assembly.ranks(assembly.ranked_values(m["facts"], m["alpha"])))
     place = F.row_number().over(panel.Window.orderBy(F.col("rank").asc_nulls_last(), "series_id"))  # a row per series of one cohort
     return rows.withColumn("place", place.cast("long")).select("place", "series_id", r8("rank"), _shown("return_1Y"), _shown("excess_return_3Y"), _shown("volatility"), _shown("sharpe"))
@@ -170,7 +184,7 @@ def index_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_FACTS + f", ag AS (SELECT key, quantile_cont(value, 0.5) m, quantile_cont(value, 0.25) a, quantile_cont(value, 0.75) b FROM rv GROUP BY 1) SELECT CAST(s.place AS INTEGER) AS place, replace(s.key, '_', ' ') AS label, NOT regexp_matches(s.key, '^({'|'.join(site.RATIOS)})(_|$)') AS is_pct, {s7('m', 'median')}, {s7('a', 'q1')}, {s7('b', 'q3')} FROM (SELECT unnest({list(site.AGGREGATES)}) AS key, unnest(range({len(site.AGGREGATES)})) AS place) s LEFT JOIN ag USING (key)")
 def aggregate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cohort's aggregates that the index page shows."""
-    m = _assembled(spark, sf_dir)
+    m = _artifacts(spark, sf_dir)[0]
     rows = site.aggregate_rows(assembly.peer.category_aggregate(assembly.ranked_values(m["facts"], m["alpha"]), ["key"]))
     return rows.select("place", "label", "is_pct", _shown("median"), _shown("q1"), _shown("q3"))
 
