@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.scratch import held, materialise, scratch_path, shared_dir, sweep, written
+from tidemark.scratch import drop, held, materialise, scratch_path, shared_dir, sweep, written
 
-__all__ = ["doc_key", "documents", "held", "materialise", "scratch_path", "shared_dir", "shuffle_partitions", "sweep", "written"]
+__all__ = ["doc_key", "documents", "drop", "held", "materialise", "scratch_path", "shared_dir", "shuffle_partitions", "sweep", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

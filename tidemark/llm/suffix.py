@@ -206,10 +206,10 @@ def _union(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], top[np.append(np.flatnonzero(new)[1:] - 1, len(spans) - 1)]], 1)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Internal key columns (d, v) beside doc_id and text: d orders documents, v tells texts under one id apart."""
+def _keyed(docs: DataFrame, rest: Column | None = None) -> DataFrame:
+    """Internal key columns (d, v) beside doc_id, text and what is to go along: d orders documents, v tells texts under one id apart."""
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    return docs.select(d.alias("d"), _version("text").alias("v"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(d.alias("d"), _version("text").alias("v"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *([] if rest is None else [rest]))
 
 
 def _version(column: str) -> Column:
@@ -367,7 +367,7 @@ def _least(text: np.ndarray, start: np.ndarray, size: np.ndarray, h: np.ndarray,
 def _spans(rows: DataFrame, hits: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
     """(d, v, spans): (start, end) pairs (i8) of the removed bytes, merged within a row."""
     listed = hits.groupBy("d").agg(F.collect_list("at").alias("at"))
-    wanted = rows.join(listed, "d").select("d", "v", "doc_id", "text", "at")  # the columns of the last join too, so that one shuffle of the texts serves both
+    wanted = rows.join(listed, "d").select(*rows.columns, "at")  # the columns of the last join too, so that one shuffle of the texts serves both
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, texts, waiting, length = [], [], 0, 0
@@ -440,9 +440,9 @@ def _spans(rows: DataFrame, hits: DataFrame, buckets: int, window: int, gram: in
     return wanted.mapInArrow(cut, _SENT).groupBy("bucket").applyInArrow(settle, "d long, v int, spans binary")
 
 
-def with_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """d, v, doc_id, text and spans (array of binary pairs, null where nothing goes) of every row."""
-    rows = _keyed(docs)
+def with_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, rest: Column | None = None) -> DataFrame:
+    """d, v, doc_id, text, what is to go along, and spans (array of binary pairs, null where nothing goes) of every row."""
+    rows = _keyed(docs, rest)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     hits = _hits(rows, max(1, math.ceil(size / BUCKET_ANCHOR_TEXT)), window, gram)
     spans = _spans(rows, hits, max(1, math.ceil(size / BUCKET_TEXT)), window, gram)
@@ -475,18 +475,24 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents with the removed bytes cut out of their texts; all columns stay, and n_chars (where there is one) follows."""
-    found = with_spans(docs, window).where("size(spans) > 0").select("d", "v", "text", "spans").dropDuplicates(["d", "v"])
+    """The documents with the removed bytes cut out of their texts; all columns stay, and n_chars (where there is one) follows. A row's
+    other columns go along with its text, so that texts are shuffled once."""
+    others = [c for c in docs.columns if c != "text"]
+    rest = F.struct(F.col("text").isNull().alias("_none"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("_row")).alias("rest")
+    found = with_spans(docs, window, rest=rest).select("text", "spans", "rest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raws = batch.column("text").cast(pa.binary()).to_pylist()
-            texts = [_kept(raw, _removed(cell)).decode("utf-8", "ignore") for raw, cell in zip(raws, batch.column("spans").to_pylist(), strict=True)]
-            yield pa.record_batch([batch.column("d"), batch.column("v"), pa.array(texts, pa.string())], ["d", "v", "cut_text"])
-
-    cut = found.mapInArrow(run, "d long, v int, cut_text string")
-    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    joined = docs.alias("o").join(cut.alias("c"), (d == F.col("c.d")) & (_version("o.text") == F.col("c.v")), "left")
-    text = F.coalesce(F.col("c.cut_text"), F.col("o.text"))
-    own = {"text": text, "n_chars": F.when(F.col("c.d").isNull(), F.col("o.n_chars")).otherwise(F.char_length(text)).cast(T.LongType())} if "n_chars" in docs.columns else {"text": text}
-    return joined.select(*(own[c].alias(c) if c in own else F.col(f"o.`{c}`") for c in docs.columns))
+            texts, cut = batch.column("text").to_pylist(), []
+            for k, cell in enumerate(batch.column("spans").to_pylist()):
+                cut.append(bool(cell))
+                if cell:
+                    texts[k] = _kept(texts[k].encode(), _removed(cell)).decode("utf-8", "ignore")
+            yield pa.record_batch([pa.array(texts, pa.string()), pa.array(cut), batch.column("rest")], ["text", "cut", "rest"])
+
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("cut", T.BooleanType()), found.schema["rest"]])
+    made = found.mapInArrow(run, schema)
+    own = {"text": F.when(~F.col("rest._none"), F.col("text"))}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(F.col("cut"), F.char_length("text").cast(T.LongType())).otherwise(F.col("rest._row.n_chars"))
+    return made.select(*(own.get(c, F.col(f"rest._row.`{c}`")).alias(c) for c in docs.columns))
