@@ -41,7 +41,12 @@ def held() -> set[str]:
 
 def sweep(keep: set[str] = frozenset()) -> None:
     """Remove all scratch paths but those to keep."""
-    for path in [p for p in _scratch if p not in keep]:
+    drop(held() - keep)
+
+
+def drop(paths: set[str]) -> None:
+    """Remove the paths of these that are still there."""
+    for path in [p for p in _scratch if p in paths]:
         remove(_scratch.pop(path), path)
 
 
