@@ -16,7 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bloomlm, bpe, components, crosspolytope, jaccard, kneserney, outliers, packing, suffix, tokenfile, warc
+from tidemark.llm import bloomlm, bpe, components, crosspolytope, jaccard, kernels, kneserney, outliers, packing, suffix, tokenfile, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -113,6 +113,29 @@ def check_packing(got: list, sizes: dict, capacity: int) -> int:
     return len(held)
 
 
+def test_bpe_classes_equal_the_library_for_all_code_points():
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(bpe.default_path()), bpe.load(bpe.default_path())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}1{chr(c)} {chr(c)}{chr(c)}!\n" for c in points[k : k + 256]) for k in range(0, len(points), 256)]
+    for at in range(0, len(texts), 200):
+        ids, bounds = own.encode(*kernels.utf8(pa.array(texts[at : at + 200])))
+        for k, found in enumerate(library.encode_batch(texts[at : at + 200], add_special_tokens=False)):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == found.ids
+
+
+def test_bpe_refuses_added_tokens_that_take_spaces(tmp_path):
+    import json
+
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"][0]["lstrip"] = True
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="surroundings"):
+        bpe.Bpe(str(tmp_path / "t.json"))
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
@@ -135,6 +158,41 @@ def test_packing_in_shards_stays_dense(spark):
     assert len(got) == 3000 and n <= 1.03 * sum(r[3] for r in rows) / 1024
 
 
+def test_packing_ends_where_nothing_fits_together(spark):
+    found = spark.createDataFrame([(k, 0, 0, 600 + k % 100, 0) for k in range(900)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(found, shard_items=100).collect()
+    assert len({r["sequence_id"] for r in got}) == 900 and all(r["offset"] == 0 for r in got)
+
+
+def test_packing_choice_by_plain_counting():
+    """Each piece goes where the squared counts of open sequences per gap become smallest, to the smallest gap of equals."""
+    rng = random.Random(14)
+    lengths = sorted((rng.randint(1, 60) for _ in range(400)), reverse=True)
+    bins, offsets, left = packing.place(lengths, 64)
+    gaps, used = Counter(), {}
+    for size, b, offset in zip(lengths, bins, offsets, strict=True):
+        open_ = sorted(g for g, n in gaps.items() if n and g >= size)
+
+        def after(g, size=size):
+            moved = Counter(gaps)
+            moved[g] -= 1
+            moved[g - size] += g > size
+            return sum(n * n for n in moved.values())
+
+        if open_:
+            least = min(after(g) for g in open_)
+            gap = next(g for g in open_ if after(g) == least)
+            assert used[b] == 64 - gap
+            gaps[gap] -= 1
+        else:
+            gap = 64
+            assert b not in used
+        assert offset == 64 - gap
+        used[b] = offset + size
+        gaps[gap - size] += gap > size
+    assert [64 - used[b] for b in range(len(left))] == left
+
+
 def test_packing_empty(empty):
     assert packing.pack_documents(empty).count() == 0
 
@@ -219,6 +277,9 @@ def test_suffix_array_orders_all_suffixes(seed):
         suffixes = [bytes(text[i : ends[own[i]]]) for i in range(len(text))]
         assert sorted(order.tolist()) == list(range(len(text)))
         assert [suffixes[i] for i in order] == sorted(suffixes)
+        long_ones = suffix.suffix_array(text, ends, 20, 4)
+        assert sorted(long_ones.tolist()) == [i for i, s in enumerate(suffixes) if len(s) >= 4]
+        assert [suffixes[i] for i in long_ones] == sorted(s for s in suffixes if len(s) >= 4)
 
 
 # 5: Jaccard join
@@ -251,10 +312,12 @@ def test_jaccard(docs, rows, empty):
     assert jaccard.link(empty).count() == 0
 
 
-def test_jaccard_large_tiles(spark, monkeypatch):
+@pytest.mark.parametrize(("tile_bytes", "leaders", "tasks"), [(4 << 20, 4, 1), (2000, 1, 3)])
+def test_jaccard_large_tiles(spark, monkeypatch, tile_bytes, leaders, tasks):
     """Tiles of more than SMALL documents, with chains of near copies and one passage that all share."""
     monkeypatch.setattr(jaccard, "SMALL", 3)
-    monkeypatch.setattr(jaccard, "TILE_ROWS", 4)
+    monkeypatch.setattr(jaccard, "TILE_BYTES", tile_bytes)
+    monkeypatch.setattr(jaccard, "LEADERS", leaders)
     rng, rows = random.Random(9), []
     vocabulary = [f"w{k}" for k in range(500)]
     for group in range(4):
@@ -266,7 +329,7 @@ def test_jaccard_large_tiles(spark, monkeypatch):
             rows.append((len(rows), " ".join(own)))
     shared = " ".join(rng.choices(vocabulary, k=30))
     rows += [(len(rows) + k, shared + " " + " ".join(rng.choices(vocabulary, k=k))) for k in range(12)]
-    got = {k: (r["n_shingles"], r["component_id"]) for k, r in by_id(jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"))).items()}
+    got = {k: (r["n_shingles"], r["component_id"]) for k, r in by_id(jaccard.link(spark.createDataFrame(spark.sparkContext.parallelize(rows, tasks), "doc_id long, text string"))).items()}
     assert got == brute_links(rows)
 
 
@@ -302,6 +365,41 @@ def test_neighbours(spark):
     assert crosspolytope.search(table.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_of_few_rows_are_all_found(spark):
+    x = np.random.default_rng(6).normal(size=(15, 64)).astype(np.float32)
+    table = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)] + [(0, [1.0] * 64), (3, [1.0] * 5)], "vec_id long, embedding array<float>")
+    got = crosspolytope.search(table, F.col("vec_id") % 20 == 0).collect()
+    full = x.astype(np.float64) @ x.astype(np.float64).T
+    # each of the two vectors under id 0 has the other one and the 14 others; the short vector meets none
+    assert len(got) == 30
+    own = [(r["rank"], r["vec_id"], r["score"]) for r in got]
+    for k in range(1, 15):
+        assert any(i == k and abs(score - full[0, k]) < 1e-9 for _, i, score in own)
+
+
+def test_recall_at_64_dimensions(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(6000, 64)) + 0.7 * rng.normal(size=(60, 64))[rng.integers(0, 60, 6000)]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    table = spark.createDataFrame([(k, row) for k, row in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    full = x[::20].astype(np.float64) @ x.astype(np.float64).T
+    full[np.arange(300), np.arange(0, 6000, 20)] = -2
+    best = np.argsort(-full, axis=1, kind="stable")[:, :20]
+    got = {(r["query_id"], r["vec_id"]) for r in crosspolytope.search(table, F.col("vec_id") % 20 == 0, block_rows=2500).collect()}
+    assert len(got) == 6000 and sum((20 * q, int(v)) in got for q in range(300) for v in best[q]) >= 0.9 * 6000
+
+
+def test_hot_cells_are_split(spark, monkeypatch):
+    monkeypatch.setattr(crosspolytope, "HOT_ROWS", 20)
+    monkeypatch.setattr(crosspolytope, "BUCKET_ENTRIES", 2000)
+    rng = np.random.default_rng(12)
+    x = np.concatenate([np.ones((300, 16)) + 1e-3 * rng.normal(size=(300, 16)), rng.normal(size=(100, 16))])
+    table = spark.createDataFrame([(k, row) for k, row in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in crosspolytope.search(table, F.col("vec_id") == 0).collect()}
+    best = np.argsort(-(x @ x[0]), kind="stable")
+    assert [got[0, k + 1] for k in range(20)] == [int(k) for k in best if k][:20]
+
+
 def test_neighbours_with_different_norms(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 8)) * rng.uniform(0.5, 2, (300, 1))
@@ -339,9 +437,9 @@ def test_filter_never_forgets():
     order = np.argsort(bloomlm.bucket_of(h, 4), kind="stable")
     h, c = h[order], c[order]
     parts = [bloomlm.segment(h[bloomlm.bucket_of(h, 4) == b], c[bloomlm.bucket_of(h, 4) == b], 1 << 18) for b in range(4)]
-    found = bloomlm.probe(np.stack(parts), h)
+    found = bloomlm.probe(np.stack(parts), h, 64)
     assert (found >= bloomlm.levels(c)).all() and (found == bloomlm.levels(c)).mean() > 0.97
-    other = bloomlm.probe(np.stack(parts), rng.integers(0, 1 << 64, 5000, np.uint64))
+    other = bloomlm.probe(np.stack(parts), rng.integers(0, 1 << 64, 5000, np.uint64), 64)
     assert (other > 0).mean() < 0.1
     assert np.allclose(np.round(bloomlm.level_count(bloomlm.levels(np.array([1, 2, 100]))) / np.array([1, 2, 100]) - 1, 1), 0, atol=0.25)
 
@@ -371,11 +469,15 @@ def test_filter_follows_the_input(spark, monkeypatch):
     assert len(off) >= 20 and abs(float(np.mean(off))) < 0.03
 
 
+def test_a_full_segment_gives_the_highest_level():
+    assert bloomlm.probe(np.full((1, 64), 255, np.uint8), np.arange(100, dtype=np.uint64), 7).tolist() == [7] * 100
+
+
 def test_false_positives_do_not_grow():
     rng = np.random.default_rng(3)
     for n in (2_000, 200_000):
         h, c = rng.integers(0, 1 << 64, n, np.uint64), rng.integers(1, 6, n)
-        other = bloomlm.probe(bloomlm.segment(h, c, bloomlm.segment_bits(c))[None, :], rng.integers(0, 1 << 64, 20_000, np.uint64))
+        other = bloomlm.probe(bloomlm.segment(h, c, bloomlm.segment_bits(c))[None, :], rng.integers(0, 1 << 64, 20_000, np.uint64), 64)
         assert (other > 0).mean() < 0.025
 
 
@@ -402,6 +504,17 @@ def test_warc(spark):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_warc_of_another_writer(spark, tmp_path):
+    payload = b"<p>hello</p>"
+    http = b"HTTP/1.1 200 OK\r\ncontent-length: %d\r\n\r\n" % len(payload) + payload
+    record = lambda kind, block, version=b"1.0": b"WARC/" + version + b"\r\nContent-Length: %d\r\nWARC-Type: %s\r\nWARC-Record-ID: <urn:x>\r\n\r\n" % (len(block), kind) + block + b"\r\n\r\n"
+    raw = record(b"warcinfo", b"software: x\r\n") + record(b"request", b"GET / HTTP/1.1\r\n\r\n") + record(b"response", http) + record(b"response", http, b"1.1") + record(b"metadata", b"")
+    (tmp_path / "a.warc").write_bytes(raw)
+    for step in (warc.RANGE, 50):
+        got = warc.read(spark, [(f"file://{tmp_path}/a.warc", len(raw))], step).collect()
+        assert [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["intact"]) for r in got] == [(None, len(payload), warc.base32_sha1(payload), "response", True)] * 2
+
+
 def test_warc_broken_chain():
     with pytest.raises(ValueError, match="breaks off"):
         warc.reachable(np.array([0, 10, 25]), np.array([10, 20, 30]), 30)
@@ -416,8 +529,8 @@ def kneser_ney(texts: list[str], model: kneserney.Model) -> object:
     order = kneserney.ORDER
     counts: dict[int, Counter] = {order: Counter()}
     for t in texts:
-        s = (0,) * (order - 1) + tuple(int(model.table[ord(c)]) for c in t)
-        counts[order].update(s[i : i + order] for i in range(len(t)))
+        s = (kneserney.BOUNDARY,) * (order - 1) + tuple(t.encode())
+        counts[order].update(s[i : i + order] for i in range(len(t.encode())))
     for n in range(order - 1, 0, -1):
         counts[n] = Counter(g[1:] for g in counts[n + 1])
     discounts = {n: kneserney._discounts(Counter(c.values())) for n, c in counts.items()}
@@ -442,7 +555,7 @@ def test_perplexity_equals_plain_counting(spark):
     train = [prose(rng, 12) for _ in range(6)]
     model = kneserney.Model(spark.createDataFrame([(t,) for t in train], "text string"))
     p = kneser_ney(train, model)
-    tests = [(1, train[0], "en"), (2, "zzz unseen ☃", "en"), (3, "", None), (4, None, None), (5, "al", "en")]
+    tests = [(1, train[0], "en"), (2, "zzz unseen ☃ 日本", "en"), (3, "", None), (4, None, None), (5, "al", "en")]
     docs = spark.createDataFrame(tests, "doc_id long, text string, lang string")
     for limit in (10**6, 0):
         got = by_id(kneserney.perplexities(docs, model, limit))
@@ -450,8 +563,8 @@ def test_perplexity_equals_plain_counting(spark):
             if not text:
                 assert got[doc_id]["log_ppl"] is None
                 continue
-            s = (0,) * (kneserney.ORDER - 1) + tuple(int(model.table[ord(c)]) for c in text)
-            expected = -sum(math.log(p(s[i : i + kneserney.ORDER])) for i in range(len(text))) / len(text)
+            s = (kneserney.BOUNDARY,) * (kneserney.ORDER - 1) + tuple(text.encode())
+            expected = -sum(math.log(p(s[i : i + kneserney.ORDER])) for i in range(len(text.encode()))) / len(text)
             assert got[doc_id]["log_ppl"] == pytest.approx(expected, rel=1e-9)
 
 
@@ -462,7 +575,7 @@ def test_classifier_keeps_like_texts(spark, empty):
     labels = spark.createDataFrame([(k, 1, 0) for k in range(80)] + [(1000, 0, 0), (None, 1, None), (3, None, None)], "doc_id long, quality int, toxic int")
     got = by_id(kneserney.classify(docs, labels))
     assert all(got[k]["kept"] for k in range(120)) and not any(got[1000 + k]["kept"] for k in range(10))
-    assert kneserney.keep(docs, labels).count() == 120
+    assert kneserney.keep(docs, labels).count() == 120 and kneserney.keep(docs, labels).schema == docs.schema
     assert kneserney.classify(empty, labels).count() == 0
     assert kneserney.classify(docs, labels.where("false")).where("kept").count() == 130
 
@@ -484,7 +597,54 @@ def test_local_perplexity_by_either_way(spark):
     one, two = (by_id(kneserney.perplexities(docs, model, limit)) for limit in (10**6, 0))
     assert one[4]["log_local"] is None and one[2]["log_local"] == pytest.approx(one[2]["log_ppl"])
     for k in (1, 2, None, 5):
-        assert two[k]["log_local"] == pytest.approx(one[k]["log_local"]) and one[k]["log_local"] >= one[k]["log_ppl"] - 1e-9
+        assert two[k]["log_local"] == pytest.approx(one[k]["log_local"]) and two[k]["log_ppl"] == pytest.approx(one[k]["log_ppl"])
+
+
+def plain_limits(marked: list[tuple], quantile: float, margin: float) -> dict:
+    """The limit of each language, and of all under None, by plain loops over all levels."""
+    good = {k: sorted(v for lang, v, bad in marked if not bad and k in (None, lang)) for k in [None, *{m[0] for m in marked}]}
+    middle = {k: v[(len(v) - 1) // 2] if v else None for k, v in good.items()}
+    offset = [(lang, math.floor((v - (middle[lang] if good[lang] else middle[None])) * kneserney.BINS), bad) for lang, v, bad in marked]
+    out = {}
+    for k in good:
+        if not good[k]:
+            continue
+        weight = lambda lang, k=k: 1.0 if k is None else (lang == k) + kneserney.PRIOR / len(good[None])
+        bins = sorted({b for lang, b, _ in offset if weight(lang)})
+        cost = [sum(weight(lang) for lang, b, bad in offset if bad and b <= x) + kneserney.FOLDS * sum(weight(lang) for lang, b, bad in offset if not bad and b > x) for x in bins]
+        best = max(i for i, c in enumerate(cost) if round(c, 6) == round(min(cost), 6))
+        if best + 1 < len(bins):
+            level = (bins[best] + 1 + bins[best + 1]) / (2 * kneserney.BINS)
+        else:
+            total = sum(weight(lang) for lang, _, bad in offset if not bad)
+            reached = next(x for x in bins if sum(weight(lang) for lang, b, bad in offset if not bad and b <= x) >= quantile * total - 1e-6)
+            level = (reached + 1) / kneserney.BINS + margin
+        out[k] = (middle[k] if k is not None else middle[None]) + level
+    return out
+
+
+@pytest.mark.parametrize("bad", [0, 12])
+def test_limits_equal_plain_counting(spark, bad):
+    rng = random.Random(4)
+    marked = [(lang, rng.gauss(2 + at, 0.1), False) for lang, at, n in (("=a", 0, 60), ("=b", 1, 7), ("=c", 3, 1)) for _ in range(n)]
+    marked += [(lang, rng.gauss(2.5 + at, 0.2), True) for lang, at in (("=a", 0), ("=b", 1), ("=d", 0)) for _ in range(bad)]
+    own, rest = kneserney._limits(spark.createDataFrame(marked, "lang_key string, log_ppl double, bad boolean"), "log_ppl", 0.95, 0.1)
+    expected = plain_limits(marked, 0.95, 0.1)
+    assert rest == pytest.approx(expected.pop(None))
+    assert {r["lang_key"]: r["log_ppl_limit"] for r in own.collect()} == pytest.approx(expected)
+
+
+def test_verdicts_follow_the_limits_of_each_language(spark):
+    rng = random.Random(21)
+    rows = [(k, prose(rng, 30), ("en", "de", None)[k % 3]) for k in range(90)] + [(100 + k, "".join(rng.choices("qxzj#", k=80)), "de") for k in range(6)] + [(None, prose(rng, 20), "fr"), (None, "", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_key", F.lit("clash"))
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(60)] + [(100, 0, 1)], "doc_id long, quality int, toxic int")
+    got = kneserney.classify(docs, labels).collect()
+    assert len({r["threshold"] for r in got if r["lang"] != "fr"}) == 3
+    for r in got:
+        assert r["kept"] == (r["perplexity"] is not None and r["perplexity"] <= r["threshold"] and r["local_perplexity"] <= r["local_threshold"])
+    kept = kneserney.keep(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got)
 
 
 # 2: quality rules
@@ -509,6 +669,71 @@ def test_statistics(docs, rows, empty):
     assert outliers.score(empty).count() == 0
 
 
+def plain_mcd(z: np.ndarray, ridge: np.ndarray, starts: list[np.ndarray]) -> tuple[float, np.ndarray]:
+    """The smallest determinant and its distances, by concentration steps over whole bins of log distances."""
+    n, p = z.shape
+    q = outliers.chi_square_quantile(outliers.SUBSET, p)
+    factor = outliers.SUBSET / outliers.chi_square_cdf(q, p + 2)
+
+    def step(mean, cov):
+        far = np.einsum("ij,ij->i", z - mean, np.linalg.solve(cov, (z - mean).T).T)
+        bins = np.floor(outliers.BINS * np.log(far + 1e-6))
+        limit = np.sort(bins)[math.ceil(outliers.SUBSET * n) - 1]
+        near = z[bins <= limit]
+        return near.mean(0), np.cov(near.T, bias=True) * factor + np.diag(ridge), near
+
+    found = []
+    for cov in starts:
+        mean = np.zeros(p)
+        for _ in range(outliers.STARTING):
+            mean, cov, _ = step(mean, cov)
+        found.append((np.linalg.slogdet(cov)[1], mean, cov))
+    det, mean, cov = min(found, key=lambda x: x[0])
+    for _ in range(outliers.MOST_STEPS - outliers.STARTING):
+        mean, cov, _ = step(mean, cov)
+        before, det = det, np.linalg.slogdet(cov)[1]
+        if abs(det - before) < outliers.STILL:
+            break
+    return mean, cov
+
+
+def test_estimates_equal_plain_concentration(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(801, 5)) @ np.diag([1, 0.3, 0.5, 0.4, 0.2]) @ (np.eye(5) + 0.3 * rng.normal(size=(5, 5))) + 3
+    x[:120] += 6
+    got = outliers.fit(spark.createDataFrame([("k", *row) for row in x.tolist()], "key string, x0 double, x1 double, x2 double, x3 double, x4 double")).first()
+    middle = np.sort(x, 0)[400]
+    scale = np.sqrt((1.4826 * np.sort(np.abs(x - middle), 0)[400]) ** 2 + np.square(outliers.FLOORS))
+    z, ridge = (x - middle) / scale, np.square(outliers.FLOORS / scale)
+    unit = z / np.sqrt((z * z).sum(1, keepdims=True) + 1e-12)
+    mean, cov = plain_mcd(z, ridge, [np.eye(5), np.tanh(z).T @ np.tanh(z) / 801 + np.diag(ridge), 5 * unit.T @ unit / 801 + np.diag(ridge)])
+    root = np.array([[got[f"l{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+    assert np.allclose([got[f"m{i}"] for i in range(5)], middle + scale * mean, atol=1e-3)
+    assert np.allclose(root @ root.T, cov * np.outer(scale, scale), atol=2e-3)
+    assert abs(np.median(x[120:], 0) - [got[f"m{i}"] for i in range(5)]).max() < 0.2
+
+
+def test_tails_of_f():
+    assert outliers.f_tail(2.852409, 5, 16) == pytest.approx(0.05, abs=1e-5) and outliers.f_tail(4.102821, 2, 10) == pytest.approx(0.05, abs=1e-5)
+    assert outliers.cutoff(1e-6, 3000, 5) == pytest.approx(outliers.cutoff(1e-6, 10**6, 5), rel=0.02)
+
+
+def test_statistics_can_be_filtered(spark):
+    docs = spark.createDataFrame([(1, "a b c " * 200 + "\nline\nline"), (2, "one two three")], "doc_id long, text string")
+    assert [r["doc_id"] for r in outliers.with_statistics(docs).where("n_repeat_words > 10 and n_dup_lines > 0").collect()] == [1]
+
+
+def test_repetition_alone_is_an_outlier(spark):
+    rng = random.Random(18)
+    words = [f"{rng.choice('abcdefgh')}{k}ord" for k in range(3000)]
+    lines = lambda n: [" ".join(rng.choices(words, k=9)) for _ in range(n)]
+    rows = [(k, "\n".join(lines(rng.randint(8, 40))), "en" if k % 2 else None, None) for k in range(120)] + [(None, "\n".join(lines(9)), None, None)]
+    odd = lines(12)
+    rows += [(500, "\n".join([*odd, *["read more of it"] * 14]), "en", None)]
+    got = by_id(outliers.score(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    assert not got[500]["kept"] and not got[500]["base_failed"] and all(got[k]["kept"] for k in [*range(120), None])
+
+
 def test_outliers_go_and_the_rest_stays(spark):
     rng = random.Random(6)
     vocabulary = [f"{rng.choice('abcdefgh')}{k}ord" for k in range(3000)]
@@ -543,6 +768,22 @@ def test_pipeline(spark, rows):
             passed[name] = {r["doc_id"] for r in before.select("doc_id").collect()}
         else:
             assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == passed["suffix-array dedup"]
-    good = {d for d, r in labels.items() if r["quality"] == 1}
-    assert len(good & passed["quality classifier"]) >= 0.9 * len(good)
+    clean = {d for d, r in labels.items() if r["quality"] == 1 and r["toxic"] == 0}
+    toxic = {d for d, r in labels.items() if r["toxic"] == 1}
+    assert len(clean & passed["quality classifier"]) >= 0.9 * len(clean) and len(toxic & passed["quality classifier"]) <= 0.5 * len(toxic)
     assert passed["n-gram Jaccard join"] <= passed["quality rules"] <= passed["quality classifier"]
+
+
+# the queries that SQL can express
+
+
+@pytest.mark.parametrize("name", ["op4_suffix_array_dedup", "op5_ngram_jaccard_join", "op10_warc_boundary_chain"])
+def test_equals_sql(spark, name):
+    import oracle
+
+    from tidemark.llm.oracles import ORACLES
+    from tidemark.llm.queries import QUERIES
+
+    assert set(ORACLES) == {"op4_suffix_array_dedup", "op5_ngram_jaccard_join", "op10_warc_boundary_chain"}
+    folder = "/root/testdata/sf0.001"
+    assert oracle.difference(QUERIES[name](spark, folder), oracle.connect(folder), ORACLES[name]) is None
