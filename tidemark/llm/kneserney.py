@@ -1,27 +1,30 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model over characters (operator 1).
-
-The model is trained on trusted texts, a bounded sample of the labelled documents (TRAIN_DOCS). N-grams of ORDER characters are
-counted, lower orders get continuation counts, and three discounts per order follow from the counts of counts; all of
-this, and the interpolated probabilities, are joins of count tables sharded by n-gram or context. The distinct n-grams of all
-documents are then joined with these tables, suffix by suffix, which gives each its probability, seen in training or not. A
-document's perplexity is the exponential of its mean negative log probability, over its whole text. A table of up to
-BROADCAST_GRAMS n-grams goes to the workers; a larger one is joined with the distinct n-grams of blocks of documents. Its local
-perplexity is that of its least likely LOCAL characters in a row, which a few odd words raise however long the text is.
-
-A document is kept if neither its local perplexity nor that of its whole text is beyond a limit of its language. The labels set the limits,
-first the local one and then, among documents within it, the other: each is where the fewest labelled documents are on the wrong
-side, counting those labelled bad or toxic (none of them is trained on) and, FOLDS times, the held-out trusted ones (one of FOLDS folds).
-It lies halfway to the next labelled document. Where no limit tells any bad document from the trusted ones, or none is labelled, it
-is the QUANTILE of the held-out trusted ones plus MARGIN. Languages with fewer than LEAST of these use the limit over all. The limits
-come from histograms.
+"""Quality classifier: an interpolated modified Kneser-Ney model over the bytes of texts (operator 1).
+
+The model is trained on trusted texts, a bounded sample of the labelled documents (TRAIN_DOCS). N-grams of ORDER bytes of UTF-8, so that no
+character of any script is merged with another, are counted, lower orders get continuation counts, and three discounts per order follow
+from the counts of counts; all of this, and the interpolated probabilities, are joins of count tables sharded by n-gram or
+context. The distinct n-grams of all documents are then joined with these tables, suffix by suffix, which gives each its
+probability, seen in training or not. A document's perplexity is the exponential of its negative log probability per character, over its
+whole text. A table of up to BROADCAST_GRAMS n-grams goes to the workers; a larger one is joined with the distinct n-grams of blocks of
+documents. Its local perplexity is that of its least likely LOCAL bytes in a row, which a few odd words raise however long the text is.
+
+A document is kept if neither its local perplexity nor that of its whole text is beyond a limit of its language: a quantile of the
+language's held-out trusted documents (one of FOLDS folds). The labels set the level of each, first of the local one and then, among
+documents within it, of the other: it is where the fewest labelled documents are on the wrong side, counting those labelled bad or toxic
+(none of them is trained on) and, FOLDS times, the held-out trusted ones, and lies halfway to the next labelled document. Where no
+level tells any bad document from the trusted ones, or none is labelled, it is QUANTILE, with MARGIN added to the limit. Documents
+count by their distance from the median of their language's held-out trusted ones. Beside its own, a language counts those of all
+languages, weighed as PRIOR trusted documents, so that one with few labels has a level too; one without any trusted document has
+the limit of all. The levels come from histograms.
 
 Defined results: a null or empty text has no perplexity and is not kept; without any trusted text there is no perplexity
-and every document with a character is kept; null languages are a language; repeated rows and null doc_ids each get their row;
-repeated or null labels count where one of them is trusted; other columns are ignored (`keep` keeps them).
+and every document with a character is kept; null languages are a language; repeated rows and null doc_ids each get their row
+and are judged alone; repeated or null labels count where one of them is trusted; other columns are ignored (`keep` keeps them).
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
@@ -29,20 +32,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import common, kernels
 
 ORDER = 5
 BITS = 8
-ALPHABET = 250
-UNKNOWN = ALPHABET + 1
+#: Before a text's first byte; no UTF-8 text holds this one.
+BOUNDARY = 0xFF
 TRAIN_DOCS = 4000
 BROADCAST_GRAMS = 4_000_000
+BROADCAST_LANGUAGES = 10_000
 QUANTILE = 0.995
 MARGIN = 0.1
-LEAST = 100
+PRIOR = 50
 LOCAL = 8
 BLOCK_TEXT = 16 << 20
+CHUNK_TEXT = 512 << 10
 #: One fold of the trusted documents sets the thresholds and takes no part in training.
 FOLDS = 4
 BINS = 256
@@ -61,43 +67,22 @@ def bad_ids(labels: DataFrame, trusted: DataFrame) -> DataFrame:
     return bad.join(trusted, F.col("bad_id") == F.col("trusted_id"), "left_anti")
 
 
-def _symbols(chunk: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All rows' symbols with ORDER - 1 boundary symbols (0) before each, the place of each real one, and row bounds."""
-    data, offsets = kernels.utf8(chunk)
-    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-    bounds = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-    place = np.arange(len(points)) + (ORDER - 1) * (row + 1)
-    out = np.zeros(len(points) + (ORDER - 1) * (len(offsets) - 1), np.int64)
-    out[place] = table[points]
-    return out, place, bounds
-
-
-def grams(chunk: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each character, and the n + 1 row bounds."""
-    symbols, place, bounds = _symbols(chunk, table)
-    key = symbols[place]
+def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-gram that ends at each byte, the n + 1 row bounds, and the number of characters of each row."""
+    data, bounds = kernels.utf8(column)
+    key, starts = data.astype(np.int64), bounds[:-1]
     for k in range(1, ORDER):
-        key |= symbols[place - k] << (BITS * k)
-    return key, bounds
-
+        earlier = np.full(len(data), BOUNDARY, np.uint8)
+        earlier[k:] = data[:-k]
+        for j in range(k):  # the row's first bytes have no byte so far before them
+            at = starts + j
+            earlier[at[at < bounds[1:]]] = BOUNDARY
+        key |= earlier.astype(np.int64) << (BITS * k)
+    characters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[bounds]
+    return key, bounds, np.diff(characters)
 
-def alphabet(texts: DataFrame) -> np.ndarray:
-    """Symbol by code point: the ALPHABET most frequent characters of the training texts, all others UNKNOWN."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in kernels.chunks(batches):
-            data, _ = kernels.utf8(chunk.column("text"))
-            point, n = np.unique(np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32), return_counts=True)
-            yield pa.record_batch([pa.array(point, pa.int32()), pa.array(n)], ["point", "n"])
 
-    top = texts.select("text").mapInArrow(run, "point int, n long").groupBy("point").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point").limit(ALPHABET).collect()
-    table = np.full(0x110000, UNKNOWN, np.uint8)
-    table[[r["point"] for r in top]] = np.arange(1, len(top) + 1)
-    return table
-
-
-def _distinct_grams(texts: DataFrame, table: np.ndarray) -> DataFrame:
+def _distinct_grams(texts: DataFrame) -> DataFrame:
     """gram and its number of occurrences; tasks merge what their chunks hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,15 +95,15 @@ def _distinct_grams(texts: DataFrame, table: np.ndarray) -> DataFrame:
             new = np.flatnonzero(np.diff(keys, prepend=-1))
             return keys[new], np.add.reduceat(n, new)
 
-        for chunk in kernels.chunks(batches):
-            key, _ = grams(chunk.column("text"), table)
+        for chunk in kernels.chunks(batches, limit=CHUNK_TEXT):
+            key, _, _ = grams(chunk.column("text"))
             if len(key):
                 held.append(np.unique(key, return_counts=True))
                 waiting += len(held[-1][0])
-            if waiting > 4_000_000:
+            if waiting > 1_500_000:
                 held = [merged()]
                 waiting = len(held[0][0])
-                if waiting > 2_000_000:
+                if waiting > 1_000_000:
                     yield pa.record_batch([pa.array(held[0][0]), pa.array(held[0][1])], ["gram", "a"])
                     held, waiting = [], 0
         if held:
@@ -144,14 +129,14 @@ class Model:
 
     def __init__(self, texts: DataFrame) -> None:
         texts = common.materialise(texts.select("text"), "trusted")
-        self.table = alphabet(texts)
-        counts = {ORDER: common.materialise(_distinct_grams(texts, self.table), "grams")}
+        counts = {ORDER: common.materialise(_distinct_grams(texts), "grams")}
+        self.empty = counts[ORDER].isEmpty()
         for order in range(ORDER - 1, 0, -1):
             longer = counts[order + 1]
             counts[order] = common.materialise(longer.select(_suffix(order).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("a")), "grams")
         self.probability: dict[int, DataFrame] = {}
         self.backoff: dict[int, DataFrame] = {}
-        self.unseen = 1.0 / (ALPHABET + 2)
+        self.unseen = 1.0 / (1 << BITS)
         for order in range(1, ORDER + 1):
             rows = counts[order].where("a <= 4").groupBy("a").agg(F.count(F.lit(1)).alias("n")).collect()
             d1, d2, d3 = _discounts({r["a"]: r["n"] for r in rows})
@@ -186,54 +171,58 @@ class Model:
         return below.select(F.col("suffix").alias("gram"), F.log("below").alias("logp"))
 
 
-_JUDGED = "doc_id long, lang string, n_chars long, log_ppl double, log_local double"
+#: What the operators below add to the rows that they are given.
+_JUDGED = [T.StructField("n_chars", T.LongType()), T.StructField("log_ppl", T.DoubleType()), T.StructField("log_local", T.DoubleType())]
 
 
-def _judged(chunk: pa.RecordBatch, table: np.ndarray, keys: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
-    """The mean negative log probability of each row and that of its least likely LOCAL characters in a row (all, if it has fewer)."""
-    key, bounds = grams(chunk.column("text"), table)
+def _judged(chunk: pa.RecordBatch, keys: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
+    """All columns but the text, the number of characters of each row, its negative log probability per character, and that per byte of
+    its least likely LOCAL bytes in a row (all, if it has fewer)."""
+    key, bounds, characters = grams(chunk.column("text"))
     distinct, back = np.unique(key, return_inverse=True)
-    value = logs[np.searchsorted(keys, distinct)][back] if len(key) else np.zeros(0)
-    total = np.concatenate([[0.0], np.cumsum(value)])
+    total = np.zeros(len(key) + 1)
+    if len(key):
+        np.cumsum(logs[np.searchsorted(keys, distinct)][back], out=total[1:])
     n = np.diff(bounds)
-    mean = -(total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(n, 1)
-    ends, at, some = np.repeat(bounds[1:], n), np.arange(len(key)), n > 0
+    some = n > 0
+    mean = -(total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(characters, 1)
     local = np.zeros(len(n))
     if len(key):
+        ends, at = np.repeat(bounds[1:], n), np.arange(LOCAL, len(key) + LOCAL)
         # windows that the row's end cuts short are part of its last whole one, whose sum is no smaller
-        local[some] = np.maximum.reduceat(total[:-1] - total[np.minimum(at + LOCAL, ends)], bounds[:-1][some]) / np.minimum(n[some], LOCAL)
-    return pa.record_batch([chunk.column("doc_id"), chunk.column("lang"), pa.array(n), pa.array(mean, mask=~some), pa.array(local, mask=~some)], ["doc_id", "lang", "n_chars", "log_ppl", "log_local"])
+        local[some] = np.maximum.reduceat(total[:-1] - total[np.minimum(at, ends)], bounds[:-1][some]) / np.minimum(n[some], LOCAL)
+    rest = [c for c in chunk.schema.names if c not in ("text", "block")]
+    return pa.record_batch([*(chunk.column(c) for c in rest), pa.array(characters), pa.array(mean, mask=~some), pa.array(local, mask=~some)], [*rest, "n_chars", "log_ppl", "log_local"])
 
 
-def perplexities(docs: DataFrame, model: Model, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
-    """doc_id, lang, n_chars, log_ppl (mean negative natural log probability, null for empty texts) and log_local of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    table = model.table
-    wanted = common.materialise(_distinct_grams(rows, table).select("gram"), "wanted")  # one pass over the texts
+def perplexities(rows: DataFrame, model: Model, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+    """The rows without their text, with n_chars, log_ppl (negative natural log probability per character, null for empty texts) and log_local."""
+    wanted = common.materialise(_distinct_grams(rows).select("gram"), "wanted")  # one pass over the texts
     scored = common.materialise(model.log_probabilities(wanted), "logp")
+    schema = T.StructType([*(f for f in rows.schema if f.name != "text"), *_JUDGED])
     if scored.count() > broadcast_grams:
-        return _by_join(rows, table, scored)
+        return _by_join(rows, scored, schema)
     frame = scored.toArrow()  # 16 bytes a row on the driver, where rows as objects would take many times that
     keys = frame["gram"].to_numpy()
     order = np.argsort(keys)
-    known = docs.sparkSession.sparkContext.broadcast((keys[order], frame["logp"].to_numpy()[order]))
+    known = rows.sparkSession.sparkContext.broadcast((keys[order], frame["logp"].to_numpy()[order]))
     del frame, keys, order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in kernels.chunks(batches):
-            yield _judged(chunk, table, *known.value)
+        for chunk in kernels.chunks(batches, limit=CHUNK_TEXT):
+            yield _judged(chunk, *known.value)
 
-    return rows.mapInArrow(run, _JUDGED)
+    return rows.mapInArrow(run, schema)
 
 
-def _by_join(rows: DataFrame, table: np.ndarray, scored: DataFrame) -> DataFrame:
+def _by_join(rows: DataFrame, scored: DataFrame, schema: T.StructType) -> DataFrame:
     """The same by a join on the distinct n-grams of each block of documents, which come back to the block's texts."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_TEXT))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
 
     def run(there: pa.Table) -> pa.Table:
-        held = [np.unique(grams(chunk.column("text"), table)[0]) for chunk in kernels.chunks(iter(there.combine_chunks().to_batches()))]
+        held = [np.unique(grams(chunk.column("text"))[0]) for chunk in kernels.chunks(iter(there.combine_chunks().to_batches()), limit=CHUNK_TEXT)]
         gram = np.unique(np.concatenate(held))
         return pa.table({"block": pa.array(np.full(len(gram), there["block"][0].as_py())), "gram": pa.array(gram)})
 
@@ -241,57 +230,82 @@ def _by_join(rows: DataFrame, table: np.ndarray, scored: DataFrame) -> DataFrame
         keys = answered["gram"].to_numpy()
         order = np.argsort(keys)
         keys, logs = keys[order], answered["logp"].to_numpy()[order]
-        schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_chars", pa.int64()), ("log_ppl", pa.float64()), ("log_local", pa.float64())])
-        return pa.Table.from_batches([_judged(chunk, table, keys, logs).cast(schema) for chunk in kernels.chunks(iter(there.combine_chunks().to_batches()))], schema)
+        return pa.Table.from_batches([_judged(chunk, keys, logs) for chunk in kernels.chunks(iter(there.combine_chunks().to_batches()), limit=CHUNK_TEXT)])
 
-    listed = rows.groupBy("block").applyInArrow(run, "block long, gram long")
+    listed = rows.select("block", "text").groupBy("block").applyInArrow(run, "block long, gram long")
     answers = listed.join(scored, "gram").select(F.col("block").alias("to"), "gram", "logp")
-    return rows.groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(judge, _JUDGED)
-
-
-def _limits(marked: DataFrame, column: str, quantile: float, margin: float) -> tuple[DataFrame, Column]:
-    """The limits of the languages with enough documents (lang_key, and the limit named by the column), and that over all."""
-    counts = marked.groupBy("lang_key", F.floor(F.col(column) * BINS).alias("bin")).agg(F.sum(F.col("bad").cast("long")).alias("d"), F.sum((~F.col("bad")).cast("long")).alias("g"))
-    both = counts.union(counts.groupBy(F.lit("").alias("lang_key"), "bin").agg(F.sum("d").alias("d"), F.sum("g").alias("g")))
+    return rows.groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(judge, schema)
+
+
+def _limits(marked: DataFrame, column: str, quantile: float, margin: float) -> tuple[DataFrame, float]:
+    """The limit of each language with trusted documents (lang_key, and the limit named by the column), and that of all others."""
+    median = F.percentile_approx(F.when(~F.col("bad"), F.col(column)), 0.5, 10_000)
+    middle = marked.groupBy("lang_key").agg(median.alias("middle"), F.sum((~F.col("bad")).cast("long")).alias("own"))
+    overall = marked.agg(median.alias("middle"), F.sum((~F.col("bad")).cast("long")).alias("own")).first()
+    if not overall["own"]:
+        return middle.where("false").select("lang_key", F.lit(math.inf).alias(f"{column}_limit")), math.inf
+    middle = common.materialise(middle.select("lang_key", F.coalesce("middle", F.lit(overall["middle"])).alias("middle"), "own"), "medians")
+    offset = F.floor((F.col(column) - F.col("middle")) * BINS).alias("bin")
+    counts = marked.join(F.broadcast(middle) if middle.count() <= BROADCAST_LANGUAGES else middle, "lang_key").groupBy("lang_key", offset).agg(F.sum(F.col("bad").cast("double")).alias("d"), F.sum((~F.col("bad")).cast("double")).alias("g"))
+    counts = common.materialise(counts, "offsets")
+    everywhere = counts.groupBy("bin").agg(F.sum("d").alias("d"), F.sum("g").alias("g"))
+    # as many rows as a logarithm of perplexities has bins, a few thousand
+    histogram = F.from_json(F.lit(json.dumps([r.asDict() for r in everywhere.collect()])), "array<struct<bin long, d double, g double>>")
+    weight = F.lit(PRIOR / overall["own"])
+    pooled = middle.where("own > 0").select("lang_key", F.explode(histogram).alias("x")).select("lang_key", "x.bin", weight * F.col("x.d"), weight * F.col("x.g"))
+    both = counts.join(middle.where("own > 0").select("lang_key"), "lang_key", "left_semi").union(pooled).union(everywhere.select(F.lit(""), "bin", "d", "g"))
+    both = both.groupBy("lang_key", "bin").agg(F.sum("d").alias("d"), F.sum("g").alias("g"))
     all_, upto = Window.partitionBy("lang_key"), Window.partitionBy("lang_key").orderBy("bin")
-    both = both.withColumns({"total": F.sum("g").over(all_), "reached": F.sum("g").over(upto), "cost": F.sum("d").over(upto) + FOLDS * (F.sum("g").over(all_) - F.sum("g").over(upto)), "next": F.lead("bin").over(upto)})
+    both = both.withColumns({"total": F.sum("g").over(all_), "reached": F.sum("g").over(upto), "cost": F.round(F.sum("d").over(upto) + FOLDS * (F.sum("g").over(all_) - F.sum("g").over(upto)), 6), "next": F.lead("bin").over(upto)})
     found = both.groupBy("lang_key").agg(
-        F.first("total").alias("total"),
         F.min_by(F.struct("bin", "next"), F.struct("cost", -F.col("bin"))).alias("best"),
-        F.min(F.when(F.col("reached") >= F.ceil(quantile * F.col("total")), F.col("bin"))).alias("bin"),
+        F.min(F.when(F.col("reached") >= quantile * F.col("total") - 1e-6, F.col("bin"))).alias("bin"),
     )
     limit = F.coalesce((F.col("best.bin") + 1 + F.col("best.next")) / (2 * BINS), (F.col("bin") + 1) / BINS + margin)
-    found = common.materialise(found.where("total > 0").select("lang_key", "total", limit.alias("limit")), "limits")
-    overall = found.where("lang_key = ''").first()
-    own = found.where((F.col("lang_key") != "") & (F.col("total") >= LEAST)).select("lang_key", F.col("limit").alias(f"{column}_limit"))
-    return own, F.coalesce(f"{column}_limit", F.lit(overall["limit"] if overall else math.inf))
+    found = found.join(middle, "lang_key", "left").select("lang_key", (F.coalesce("middle", F.lit(overall["middle"])) + limit).alias(f"{column}_limit"))
+    found = common.materialise(found, "limits")
+    return found.where("lang_key <> ''"), found.where("lang_key = ''").first()[1]
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """doc_id, lang, n_chars, perplexity, threshold, local_perplexity, local_threshold and kept of every row."""
+def _decided(rows: DataFrame, labels: DataFrame, quantile: float, margin: float, train_docs: int) -> DataFrame:
+    """`rows` (doc_id, text, lang_key and what else there is) without their text, with what the classifier finds and kept."""
     trusted = common.materialise(trusted_ids(labels), "trusted-ids")
     held_out = F.pmod(F.xxhash64("trusted_id", F.lit("fold")), F.lit(FOLDS)) == 0
     sample = trusted.where(~held_out).orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(train_docs)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("trusted_id")).where("text <> ''")
+    texts = rows.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("trusted_id")).where("text <> ''")
     model = Model(texts)
-    if not (model.table < UNKNOWN).any():
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"))
-        nothing = F.lit(None).cast("double")
-        return rows.select("doc_id", "lang", "n_chars", nothing.alias("perplexity"), nothing.alias("threshold"), nothing.alias("local_perplexity"), nothing.alias("local_threshold"), (F.col("n_chars") > 0).alias("kept"))
-    rows = common.materialise(perplexities(docs, model).withColumn("lang_key", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("~"))), "perplexity")
+    limits = ["log_ppl_limit", "log_local_limit"]
+    if model.empty:
+        nothing = {c: F.lit(None).cast("double") for c in ("log_ppl", "log_local", *limits)}
+        found = rows.withColumns({"n_chars": F.coalesce(F.char_length("text"), F.lit(0)).cast("long"), **nothing})
+        return found.drop("text").withColumn("kept", F.col("n_chars") > 0)
+    found = common.materialise(perplexities(rows, model), "perplexity")
     marks = trusted.where(held_out).select(F.col("trusted_id").alias("mark_id"), F.lit(False).alias("bad")).union(bad_ids(labels, trusted).select("bad_id", F.lit(True)))
-    marked = rows.where("log_ppl is not null").join(marks, F.col("doc_id") == F.col("mark_id")).select("lang_key", "log_ppl", "log_local", "bad")
-    marked = common.materialise(marked, "marked")
-    own, local = _limits(marked, "log_local", quantile, margin)
-    within = marked.join(own, "lang_key", "left").where(F.col("log_local") <= local).drop("log_local_limit")
-    judged = rows.join(own, "lang_key", "left")
-    own, limit = _limits(within, "log_ppl", quantile, margin)
-    judged = judged.join(own, "lang_key", "left")
-    kept = F.coalesce((F.col("log_ppl") <= limit) & (F.col("log_local") <= local), F.lit(False))
-    return judged.select("doc_id", "lang", "n_chars", F.exp("log_ppl").alias("perplexity"), F.exp(limit).alias("threshold"), F.exp("log_local").alias("local_perplexity"), F.exp(local).alias("local_threshold"), kept.alias("kept"))
+    scores = found.where("log_ppl is not null").select("doc_id", "lang_key", "log_ppl", "log_local")
+    marked = common.materialise(scores.join(marks, F.col("doc_id") == F.col("mark_id")).select("lang_key", "log_ppl", "log_local", "bad"), "marked")
+    few = lambda t: F.broadcast(t) if t.count() <= BROADCAST_LANGUAGES else t
+    own, rest = _limits(marked, "log_local", quantile, margin)
+    bounded = lambda t: t.join(few(own), "lang_key", "left").withColumn("log_local_limit", F.coalesce("log_local_limit", F.lit(rest)))
+    within = bounded(marked).where("log_local <= log_local_limit").drop("log_local_limit")
+    found = bounded(found)
+    own, rest = _limits(within, "log_ppl", quantile, margin)
+    found = found.join(few(own), "lang_key", "left").withColumn("log_ppl_limit", F.coalesce("log_ppl_limit", F.lit(rest)))
+    return found.withColumn("kept", F.coalesce((F.col("log_ppl") <= F.col("log_ppl_limit")) & (F.col("log_local") <= F.col("log_local_limit")), F.lit(False)))
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """doc_id, lang, n_chars, perplexity, threshold, local_perplexity, local_threshold and kept of every row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", _lang_key())
+    found = _decided(rows, labels, quantile, margin, train_docs)
+    shown = [F.exp(c).alias(n) for c, n in (("log_ppl", "perplexity"), ("log_ppl_limit", "threshold"), ("log_local", "local_perplexity"), ("log_local_limit", "local_threshold"))]
+    return found.select("doc_id", "lang", "n_chars", *shown, "kept")
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier keeps; rows that repeat a doc_id stay if one of them is kept, and null doc_ids go."""
-    kept = classify(docs, labels).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
+    """The documents that the classifier keeps. They stay where they are: each row takes its columns along while it is scored."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), _lang_key(), F.struct(*docs.columns).alias("row"))
+    return _decided(rows, labels, QUANTILE, MARGIN, TRAIN_DOCS).where("kept").select("row.*")
+
+
+def _lang_key() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("~")).alias("lang_key")
