@@ -333,6 +333,22 @@ def test_jaccard_large_tiles(spark, monkeypatch, tile_bytes, leaders, tasks):
     assert got == brute_links(rows)
 
 
+def test_jaccard_pairs_do_not_grow_with_copies(spark, monkeypatch):
+    """Copies far apart, in packs of their own, are one set where packs meet: no pair of copies, and a link of two texts once in a bucket."""
+    monkeypatch.setattr(jaccard, "PACK_SHINGLES", 1)
+    monkeypatch.setattr(jaccard, "CHUNK_BYTES", 1)
+    rng = random.Random(14)
+    one = rng.choices([f"w{k}" for k in range(500)], k=200)
+    other = [*one[:-3], "x", "y", "z"]
+    texts = [" ".join(one)] * 20 + [" ".join(other)] * 20
+    rows = [(k, t) for k, t in enumerate(texts)] + [(7, " ".join(other[:-1])), (50, None), (None, texts[0])]
+    table = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "doc_id long, text string")
+    met = jaccard._meet(jaccard._prefixes(table, jaccard.hot_shingles(table), 2, 5, 80), 80).collect()
+    assert 0 < len(met) <= 2 * 3 and all(r["x"] != r["y"] for r in met)
+    got = jaccard.link(table).where("doc_id is not null").select("doc_id", "component_id").distinct().collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {**dict.fromkeys(range(40), 0), 50: 50}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 20)] + [(30, 31), (31, 30), (5, 5)], "u long, v long")
     got = {r["node"]: r["component"] for r in components.components(edges).collect()}

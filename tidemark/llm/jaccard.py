@@ -35,10 +35,12 @@ from tidemark.llm.components import components
 WORDS = 5
 PERCENT = 80
 SMALL = 96
-HOT_SHINGLES = 200_000
-HOT_IN_CHUNK = 2
+HOT_SHINGLES = 2_000_000
+HOT_IN_WINDOW = 2
+WINDOW_SHINGLES = 1 << 20
+CHUNK_BYTES = 1 << 20
 BUCKET_TEXT = 4 << 20
-PACK_SHINGLES = 1 << 20
+PACK_SHINGLES = 1 << 19
 TILE_BYTES = 4 << 20
 LEADERS = 4
 _REPRESENTS = np.uint32(1 << 31)  # marks, beside a place, a row that stands for a run in its task
@@ -67,6 +69,11 @@ def digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def short(key: bytes) -> int:
+    """The first 8 bytes of a digest, by which the prefixes name a set: rows with equal sets are one from the start."""
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
 def bitmap(shingles: np.ndarray) -> np.ndarray:
     """Hashed bitmap of a set; its width follows the size."""
     width = min(1 << 16, max(64, 1 << max(1, 2 * len(shingles) - 1).bit_length()))
@@ -108,26 +115,36 @@ def _stars(doc: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n, key (digest) and bits of every row."""
+    """doc_id, n, key (digest), short (its first bytes) and bits of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in kernels.chunks(batches):
+        for chunk in kernels.chunks(batches, limit=CHUNK_BYTES):
             found = shingle_sets(chunk.column("text"), words)
-            yield pa.record_batch([chunk.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array([digest(s) for s in found], pa.binary()), pa.array([bitmap(s).tobytes() if len(s) else b"" for s in found], pa.binary())], ["doc_id", "n", "key", "bits"])
+            keys = [digest(s) for s in found]
+            yield pa.record_batch([chunk.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array(keys, pa.binary()), pa.array([short(k) for k in keys], pa.int64()), pa.array([bitmap(s).tobytes() if len(s) else b"" for s in found], pa.binary())], ["doc_id", "n", "key", "short", "bits"])
 
-    return common.doc_key(docs).mapInArrow(run, "doc_id long, n long, key binary, bits binary")
+    return common.doc_key(docs).mapInArrow(run, "doc_id long, n long, key binary, short long, bits binary")
 
 
 def hot_shingles(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of at most HOT_SHINGLES shingles that many documents share, by the counts of chunks where several do, and their
-    places in the order from the rarest to the most frequent."""
+    """Sorted hashes of at most HOT_SHINGLES shingles that many documents share, by the counts of windows of WINDOW_SHINGLES where several
+    do, and their places in the order from the rarest to the most frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in kernels.chunks(batches):
-            found = shingle_sets(chunk.column("text"), words)
-            h, n = np.unique(np.concatenate(found), return_counts=True)
-            many = n >= HOT_IN_CHUNK
-            yield pa.record_batch([pa.array(h[many].view(np.int64)), pa.array(n[many])], ["h", "n"])
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            many = n >= HOT_IN_WINDOW
+            return pa.record_batch([pa.array(h[many].view(np.int64)), pa.array(n[many])], ["h", "n"])
+
+        for chunk in kernels.chunks(batches, limit=CHUNK_BYTES):
+            held.append(np.concatenate(shingle_sets(chunk.column("text"), words)))
+            if sum(map(len, held)) >= WINDOW_SHINGLES:
+                yield flush()
+        if held:
+            yield flush()
 
     counted = common.doc_key(docs).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "h").limit(HOT_SHINGLES).toArrow()
@@ -139,22 +156,23 @@ def hot_shingles(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.nd
 
 
 def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], buckets: int, words: int, percent: int) -> DataFrame:
-    """Packed (shingle, document, size, place) of the prefixes of all non-empty sets, by bucket; copies within a pack count once.
-    Buckets below zero hold stars (in h and doc) of the large runs within a pack."""
+    """Packed (shingle, set, size, place) of the prefixes of all non-empty sets, by bucket; a set goes by the short form of its digest
+    (in doc), so that copies count once within a pack, and again once where packs meet. Buckets below zero hold stars (in h and doc) of the large runs within a pack."""
     known = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, hotness = known.value
         pack = zstandard.ZstdCompressor(level=1).compress
-        held: dict[bytes, tuple[int, int, np.ndarray]] = {}
+        held: dict[int, tuple[int, np.ndarray]] = {}
         waiting = 0
 
         def flush() -> pa.RecordBatch:
             rows = list(held.values())
+            count = [len(r[1]) for r in rows]
+            h = np.concatenate([r[1] for r in rows])
+            doc, size = np.repeat(np.fromiter(held, np.int64, len(held)), count), np.repeat(np.array([r[0] for r in rows]), count)
             held.clear()
-            count = [len(r[2]) for r in rows]
-            h = np.concatenate([r[2] for r in rows])
-            doc, size = np.repeat(np.array([r[0] for r in rows]), count), np.repeat(np.array([r[1] for r in rows]), count)
+            del rows
             place = np.concatenate([np.arange(c) for c in count])
             # where this is the first shared shingle, no partner is larger than this; some partner must have the least size
             top = (100 + percent) * (size - place) // percent - size
@@ -184,20 +202,20 @@ def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], buckets: int,
                     cell.append(pack(x.astype("<i8").tobytes()))
             return pa.record_batch([pa.array(numbers), *(pa.array(c, pa.binary()) for c in cells)], ["bucket", "h", "doc", "size", "place"])
 
-        for chunk in kernels.chunks(batches):
+        for chunk in kernels.chunks(batches, limit=CHUNK_BYTES):
             for doc, s in zip(chunk.column("doc_id").to_pylist(), shingle_sets(chunk.column("text"), words), strict=True):
                 if doc is None or not len(s):
                     continue
-                key = digest(s)
-                if key in held and held[key][0] <= doc:
+                key = short(digest(s))
+                if key in held:
                     continue
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
                     late = hot[at] == s
                     s = np.concatenate([s[~late], s[late][np.argsort(hotness[at[late]])]])
-                first = s[: prefix_size(len(s), percent)]
+                first = s[: prefix_size(len(s), percent)].copy()  # a view would keep the whole set
                 waiting += len(first)
-                held[key] = (doc, len(s), first)
+                held[key] = (len(s), first)
             if waiting >= PACK_SHINGLES:
                 yield flush()
                 waiting = 0
@@ -208,7 +226,7 @@ def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], buckets: int,
 
 
 def _meet(prefixes: DataFrame, percent: int) -> DataFrame:
-    """(pair, x, y): the candidate pairs of documents x < y of small runs; with pair false, x is the first of a large run and y its member."""
+    """(pair, x, y): the candidate pairs of sets x < y of small runs, each once in a bucket; with pair false, x is the first of a large run and y its member."""
 
     def meet(table: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -218,7 +236,8 @@ def _meet(prefixes: DataFrame, percent: int) -> DataFrame:
             stars = np.unique(np.stack([read("h", "<i8"), read("doc", "<i8")], 1), axis=0)
         else:
             h, doc, size, place = read("h", "u8"), read("doc", "<i8"), read("size", "<u4").astype(np.int64), read("place", "<u4")
-            order = np.lexsort((doc, size, h))
+            order = np.lexsort((~place, doc, size, h))  # of a set's copies from several packs the first stays, and it is marked if any is
+            order = order[np.append(True, (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1]))]
             h, doc, size, place = h[order], doc[order], size[order], place[order]
             left = size - (place & ~_REPRESENTS).astype(np.int64)  # what can still be shared from this shingle on
             starts = _runs(h, size, percent)
@@ -301,7 +320,7 @@ def _arrays(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             at = batch.column("at").to_numpy().astype(np.uint64)
             listed = batch.filter(pa.array((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0))
-            for chunk in kernels.chunks(iter([listed])):
+            for chunk in kernels.chunks(iter([listed]), limit=CHUNK_BYTES):
                 found = shingle_sets(chunk.column("text"), words)
                 yield pa.record_batch([chunk.column("doc_id"), pa.array([digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "own", "shingles"])
 
@@ -398,13 +417,17 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     rows = common.materialise(sets(docs, words), "sets")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(size / BUCKET_TEXT))
-    chosen = common.materialise(rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("key")), "keys")
-    heads = common.materialise(chosen.groupBy("key").agg(F.min("doc_id").alias("node")), "heads")
-    classes = common.materialise(chosen.join(heads, "key").select("doc_id", "node"), "classes")
+    chosen = common.materialise(rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("key"), F.min_by("short", "key").alias("short")), "keys")
+    heads = common.materialise(chosen.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("short").alias("short")), "heads")
+    classes = common.materialise(chosen.join(heads.select("key", "node"), "key").select("doc_id", "node"), "classes")
     nodes = rows.join(heads.withColumnRenamed("key", "own"), (F.col("doc_id") == F.col("node")) & (F.col("key") == F.col("own"))).select("node", "key", "n", "bits").dropDuplicates(["node"])
     nodes = common.materialise(nodes, "nodes")
-    met = common.materialise(_meet(_prefixes(docs, hot_shingles(docs, words), buckets, words, percent), percent), "met")
-    of = lambda c: classes.select(F.col("doc_id").alias(c), F.col("node").alias(f"node_{c}"))
+    # a set that is not its document's own stands for that document's node
+    others = rows.where("n > 0").join(chosen.select("doc_id", F.col("key").alias("own")), "doc_id").where("key <> own").select("doc_id", "key", "short")
+    others = others.join(heads.select("key"), "key", "left_anti").join(classes, "doc_id").groupBy("key", "short").agg(F.min("node").alias("node"))
+    alias = common.materialise(heads.select("short", "node").union(others.select("short", "node")), "alias")
+    met = common.materialise(_meet(_prefixes(docs, hot_shingles(docs, words), buckets, words, percent), percent).distinct(), "met")
+    of = lambda c: alias.select(F.col("short").alias(c), F.col("node").alias(f"node_{c}"))
     met = met.join(of("x"), "x").join(of("y"), "y").where("node_x <> node_y")
     met = common.materialise(met.select("pair", F.least("node_x", "node_y").alias("x"), F.greatest("node_x", "node_y").alias("y")).distinct(), "candidates")
     likely = common.materialise(_weigh(met.where("pair").select("x", "y"), nodes, percent), "likely")
