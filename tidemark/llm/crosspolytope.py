@@ -38,6 +38,7 @@ CELL_ROWS = 400
 BLOCK_ROWS = 32_768
 BUCKET_ENTRIES = 2 << 20
 HOT_ROWS = 2 << 20
+IDS = 512
 SEED = 20_240_101
 
 
@@ -187,71 +188,122 @@ def _dealt(slots: DataFrame, buckets: int, hot: np.ndarray, parts: np.ndarray, i
 
 
 def _met(probes: DataFrame, index: DataFrame, blocks: int) -> DataFrame:
-    """block, query (vid) and vids: the ids that share a cell with a query, by block of rows."""
-
-    def meet(asking: pa.Table, there: pa.Table) -> pa.Table:
-        names, kinds = ["block", "query", "vids"], [pa.int64(), pa.int64(), pa.binary()]
-        if not asking.num_rows or not there.num_rows:
-            return pa.table([pa.array([], t) for t in kinds], names)
-        (slot, vid), (wanted, query) = ([np.frombuffer(b"".join(t[c].to_pylist()), np.int64) for c in ("slots", "vids")] for t in (there, asking))
-        order = np.argsort(slot, kind="stable")
-        slot, vid = slot[order], vid[order]
-        place = np.argsort(query, kind="stable")
-        query, wanted = query[place], wanted[place]
-        low, high = np.searchsorted(slot, wanted), np.searchsorted(slot, wanted, "right")
-        new = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
-        out = []
-        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(query)], strict=True):
-            found = np.unique(np.concatenate([vid[i:j] for i, j in zip(low[a:b].tolist(), high[a:b].tolist(), strict=True)]))
-            block = found % blocks
-            for k in np.unique(block).tolist():
-                out.append((k, int(query[a]), found[block == k].tobytes()))
-        return pa.table([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names)
-
-    return probes.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(meet, "block long, query long, vids binary")
-
-
-def _scored(asked: DataFrame, index: DataFrame, blocks: int, kind: str, k: int) -> DataFrame:
-    """query, found (keys) and score: the best k + 1 of a block, with ties, among the ids that `asked` (block, key, vec, dim, vids) lists for
-    each query; null vids ask for all rows of the query's length."""
-    there = index.select(F.pmod("vid", F.lit(blocks)).alias("of"), F.col("vid").alias("own"), F.col("key").alias("found"), F.col("vec").alias("components"), F.col("dim").alias("length"))
-
-    def best(asking: pa.Table, held: pa.Table) -> pa.Table:
-        left, right, scores = [], [], []
-        length, own = held["length"].to_numpy(), held["own"].to_numpy()
-        rows = {}
-        for dim in np.unique(length).tolist():
-            at = np.flatnonzero(length == dim)
-            at = at[np.argsort(own[at], kind="stable")]
-            raw = held["components"].combine_chunks().take(pa.array(at)).to_pylist()
-            rows[dim] = (at, own[at], np.frombuffer(b"".join(raw), kind).reshape(-1, dim).astype(np.float64))
-        lists: dict[bytes, list] = {}
-        for key, vec, dim, vids in zip(*(asking[c].to_pylist() for c in ("key", "vec", "dim", "vids")), strict=True):
-            lists.setdefault(key, [vec, dim, []])[2].append(vids)
-        for key, (vec, dim, vids) in lists.items():
-            if dim not in rows:
-                continue
-            at, own, v = rows[dim]
-            if any(x is None for x in vids):
-                here = np.arange(len(at))
-            else:
-                wanted = np.unique(np.frombuffer(b"".join(vids), np.int64))
-                low, high = np.searchsorted(own, wanted), np.searchsorted(own, wanted, "right")
-                here = low[high > low]
-                if (high - low).max(initial=0) > 1:  # different vectors with equal ids
-                    here = np.concatenate([np.arange(i, j) for i, j in zip(low.tolist(), high.tolist(), strict=True)])
-            score = np.einsum("ij,j->i", v[here], np.frombuffer(vec, kind).astype(np.float64))
-            if len(here) > k + 1:
-                # ties with the last one stay: their ids decide
-                some = np.flatnonzero(score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1])
-                here, score = here[some], score[some]
-            left += [key] * len(here)
-            right.append(at[here])
-            scores.append(score)
-        right = np.concatenate(right) if right else np.zeros(0, np.int64)
-        return pa.table([pa.array(left, pa.binary()), held["found"].combine_chunks().take(pa.array(right)), pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["query", "found", "score"])
-
-    return asked.groupBy("block").cogroup(there.groupBy("of")).applyInArrow(best, "query binary, found binary, score double")
+    """block, query (vid) and vids: the ids that share a cell with a query, by block of rows, at most IDS of them in a row. A task holds the
+    index entries of one bucket; the probes pass by."""
+    names, kinds = ["block", "query", "vids"], [pa.int64(), pa.int64(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, slot, vid = None, [], None, None
+        for batch in batches:
+            buckets, sides = batch.column("bucket").to_numpy(), batch.column("side").to_numpy()
+            cuts = np.flatnonzero(np.append(True, (np.diff(buckets) != 0) | (np.diff(sides) != 0))).tolist() if len(buckets) else []
+            for a, b in zip(cuts, [*cuts[1:], len(buckets)], strict=True):
+                if buckets[a] != at:
+                    at, held, slot, vid = buckets[a], [], None, None
+                read = [np.frombuffer(b"".join(batch.column(c)[a:b].to_pylist()), np.int64) for c in ("slots", "vids")]
+                if not sides[a]:
+                    held.append(read)
+                    continue
+                if slot is None:
+                    slot, vid = (np.concatenate([h[k] for h in held] or [np.zeros(0, np.int64)]) for k in (0, 1))
+                    order = np.argsort(slot, kind="stable")
+                    held, slot, vid = [], slot[order], vid[order]
+                wanted, query = read
+                place = np.argsort(query, kind="stable")
+                query, wanted = query[place], wanted[place]
+                low, high = np.searchsorted(slot, wanted), np.searchsorted(slot, wanted, "right")
+                new = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+                out, size = [], 0
+                for c, d in zip(new.tolist(), [*new[1:].tolist(), len(query)], strict=True):
+                    found = np.unique(np.concatenate([vid[i:j] for i, j in zip(low[c:d].tolist(), high[c:d].tolist(), strict=True)]))
+                    block = found % blocks
+                    order = np.argsort(block, kind="stable")
+                    found, block = found[order], block[order]
+                    edges = np.flatnonzero(np.diff(block, prepend=-1)).tolist()
+                    for e, f in zip(edges, [*edges[1:], len(found)], strict=True):
+                        out += [(int(block[e]), int(query[c]), found[g : min(f, g + IDS)].tobytes()) for g in range(e, f, IDS)]
+                    size += len(found)
+                    if size >= 64 * IDS:
+                        yield pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names)
+                        out, size = [], 0
+                if out:
+                    yield pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names)
+
+    both = index.withColumn("side", F.lit(0)).union(probes.withColumn("side", F.lit(1)))
+    return both.repartition("bucket").sortWithinPartitions("bucket", "side").mapInArrow(run, "block long, query long, vids binary")
+
+
+def _scored(asked: DataFrame, queries: DataFrame, index: DataFrame, blocks: int, kind: str, k: int) -> DataFrame:
+    """query, found (keys) and score: the best k + 1 of a block, with ties, among the ids that `asked` (block, query, vids) lists for each
+    query; null vids ask for all rows of the query's length. A task holds the rows of one block; each query's vector and lists pass by."""
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    there = index.select(F.pmod("vid", F.lit(blocks)).alias("block"), F.lit(0).alias("side"), F.col("vid").alias("query"), "key", F.col("vec").alias("body"), "dim")
+    asking = queries.select(every.alias("block"), F.lit(1).alias("side"), F.col("vid").alias("query"), "key", F.col("vec").alias("body"), "dim")
+    lists = asked.select("block", F.lit(2).alias("side"), "query", F.lit(None).cast("binary").alias("key"), F.col("vids").alias("body"), F.lit(None).cast("int").alias("dim"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, name, loading, rows = None, None, [], {}
+        vectors: list[tuple] = []
+        wanted: list = []
+        found: list[tuple] = []
+
+        def load() -> None:
+            for dim in {r[3] for r in loading}:
+                part = sorted((r for r in loading if r[3] == dim), key=lambda r: r[0])
+                rows[dim] = (np.array([r[0] for r in part]), [r[1] for r in part], np.frombuffer(b"".join(r[2] for r in part), kind).reshape(-1, dim).astype(np.float64))
+            loading.clear()
+
+        def answer() -> None:
+            for key, vec, dim in vectors if wanted else ():
+                if dim not in rows:
+                    continue
+                own, keys, v = rows[dim]
+                if any(x is None for x in wanted):
+                    here = np.arange(len(own))
+                else:
+                    ids = np.unique(np.frombuffer(b"".join(wanted), np.int64))
+                    low, high = np.searchsorted(own, ids), np.searchsorted(own, ids, "right")
+                    here = low[high > low]
+                    if (high - low).max(initial=0) > 1:  # different vectors with equal ids
+                        here = np.concatenate([np.arange(i, j) for i, j in zip(low.tolist(), high.tolist(), strict=True)])
+                score = np.einsum("ij,j->i", v[here], np.frombuffer(vec, kind).astype(np.float64))
+                if len(here) > k + 1:
+                    # ties with the last one stay: their ids decide
+                    some = np.flatnonzero(score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1])
+                    here, score = here[some], score[some]
+                found.extend((key, keys[i], x) for i, x in zip(here.tolist(), score.tolist(), strict=True))
+            vectors.clear()
+            wanted.clear()
+
+        def told() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array([r[c] for r in found], t) for c, t in enumerate((pa.binary(), pa.binary(), pa.float64()))], ["query", "found", "score"])
+            found.clear()
+            return out
+
+        for batch in batches:
+            for block, side, query, key, body, dim in zip(*(batch.column(c).to_pylist() for c in ("block", "side", "query", "key", "body", "dim")), strict=True):
+                if block != at or (side and query != name):
+                    answer()
+                    name = query
+                    if block != at:
+                        at, rows = block, {}
+                        loading.clear()
+                if not side:
+                    loading.append((query, key, body, dim))
+                    continue
+                if loading:
+                    load()
+                if side == 1:
+                    vectors.append((key, body, dim))
+                else:
+                    wanted.append(body)
+                if len(found) >= 20_000:
+                    yield told()
+        answer()
+        yield told()
+
+    both = there.union(asking).union(lists).repartition("block").sortWithinPartitions("block", F.col("side") > 0, "query", "side")
+    return both.mapInArrow(run, "query binary, found binary, score double")
 
 
 def search(table: DataFrame, is_query, k: int = NEIGHBOURS, tables: int = TABLES, probes: int = PROBES, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -272,16 +324,15 @@ def search(table: DataFrame, is_query, k: int = NEIGHBOURS, tables: int = TABLES
         found = coded.groupBy("slot").count().where(F.col("count") > HOT_ROWS).orderBy("slot").toArrow()
         hot, parts = found["slot"].to_numpy(), -(-found["count"].to_numpy() // HOT_ROWS)
     met = _met(_dealt(_slots(queries, kind, tables, probes, n, longest, False), buckets, hot, parts, False), _dealt(coded, buckets, hot, parts, True), blocks)
-    asked = met.join(queries.withColumnRenamed("vid", "query"), "query").select("block", "key", "vec", "dim", "vids")
-    pairs = common.materialise(_scored(asked, index, blocks, kind, k), "scored")
+    pairs = common.materialise(_scored(met, queries, index, blocks, kind, k), "scored")
     sizes = index.select(F.col("key").alias("found"), "dim", F.size("ids").alias("n"))
     there = sizes.groupBy("dim").agg(F.least(F.sum("n"), F.lit(k + 1)).alias("there"))
     reached = pairs.join(sizes, "found").groupBy("query").agg(F.sum("n").alias("n"))
     short = queries.join(there, "dim").join(reached, F.col("key") == F.col("query"), "left").where(F.coalesce("n", F.lit(0)) < F.col("there"))
-    short = common.materialise(short.select("key", "vec", "dim"), "short")
+    short = common.materialise(short.select("key", "vid", "vec", "dim"), "short")
     if not short.isEmpty():
-        every = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "key", "vec", "dim", F.lit(None).cast("binary").alias("vids"))
-        pairs = pairs.join(short.select(F.col("key").alias("query")), "query", "left_anti").union(_scored(every, index, blocks, kind, k))
+        every = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.col("vid").alias("query"), F.lit(None).cast("binary").alias("vids"))
+        pairs = pairs.join(short.select(F.col("key").alias("query")), "query", "left_anti").union(_scored(every, short, index, blocks, kind, k))
     pairs = pairs.join(index.select(F.col("key").alias("found"), "ids"), "found")
     # k + 1 distinct vectors hold k rows beside the query; equal scores of several vectors are told apart by single ids below
     near = pairs.withColumn("place", F.rank().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("place") <= k + 1)
