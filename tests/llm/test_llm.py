@@ -16,7 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bloomlm, bpe, components, crosspolytope, jaccard, kernels, kneserney, outliers, packing, suffix, tokenfile, warc
+from tidemark.llm import bloomlm, bpe, common, components, crosspolytope, jaccard, kernels, kneserney, outliers, packing, suffix, tokenfile, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -621,6 +621,28 @@ def test_classifier_keeps_like_texts(spark, empty):
     assert kneserney.classify(docs, labels.where("false")).where("kept").count() == 130
 
 
+def test_classifier_hands_each_text_on_once_and_in_small_batches(spark, monkeypatch):
+    asked, real = [], kneserney.perplexities
+    monkeypatch.setattr(kneserney, "perplexities", lambda rows, *a, **b: asked.append(rows) or real(rows, *a, **b))
+    rng = random.Random(11)
+    docs = spark.createDataFrame([(k, prose(rng, 40), "en", "s", k) for k in range(60)], DOCS)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(50)], "doc_id long, quality int, toxic int")
+    kept = kneserney.keep(docs, labels)
+    assert kept.schema == docs.schema and {r["doc_id"]: r for r in docs.collect()}.items() >= by_id(kept).items() and kept.count() > 40
+    assert asked[0].schema.simpleString().count("text:") == 1
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], ["n"])
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting, None)
+    large = spark.range(0, 12, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    found = [r["n"] for r in common.streamed(large.mapInArrow(sizes, "n long"), "sizes").collect()]
+    assert len(found) > 1 and max(found) <= common.BATCH_BYTES + (2 << 20)
+    assert spark.conf.get(setting, None) == before
+
+
 def test_classifier_finds_a_few_odd_words_in_long_texts(spark):
     rng = random.Random(12)
     odd = lambda: prose(rng, 150) + " Qwrtzky " + prose(rng, 150)

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.scratch import drop, held, materialise, scratch_path, shared_dir, sweep, written
 
-__all__ = ["doc_key", "documents", "drop", "held", "materialise", "scratch_path", "shared_dir", "shuffle_partitions", "sweep", "written"]
+__all__ = ["doc_key", "documents", "drop", "held", "materialise", "scratch_path", "shared_dir", "shuffle_partitions", "small_batches", "streamed", "sweep", "written"]
+
+#: Of an Arrow batch on its way to a Python worker; by rows alone, 10,000 long texts are held at once, in the JVM and again in the worker.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,3 +28,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def doc_key(docs: DataFrame) -> DataFrame:
     """doc_id as long and text, the only columns most operators take, so that extra columns can never clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile hands its rows to Python in batches of about BATCH_BYTES; the session's own setting is back afterwards."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
+
+
+def streamed(df: DataFrame, label: str) -> DataFrame:
+    """`materialise` with small batches, for tables that Python makes from texts or sets."""
+    with small_batches(df.sparkSession):
+        return materialise(df, label)

@@ -118,6 +118,7 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n, key (digest), short (its first bytes) and bits of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernels.release()
         for chunk in kernels.chunks(batches, limit=CHUNK_BYTES):
             found = shingle_sets(chunk.column("text"), words)
             keys = [digest(s) for s in found]
@@ -131,6 +132,7 @@ def hot_shingles(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.nd
     do, and their places in the order from the rarest to the most frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernels.release()
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
@@ -147,7 +149,8 @@ def hot_shingles(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.nd
             yield flush()
 
     counted = common.doc_key(docs).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "h").limit(HOT_SHINGLES).toArrow()
+    with common.small_batches(docs.sparkSession):
+        top = counted.orderBy(F.desc("n"), "h").limit(HOT_SHINGLES).toArrow()
     h, n = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(h)
     place = np.empty(len(h), np.int32)
@@ -161,6 +164,7 @@ def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], buckets: int,
     known = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernels.release()
         hot, hotness = known.value
         pack = zstandard.ZstdCompressor(level=1).compress
         held: dict[int, tuple[int, np.ndarray]] = {}
@@ -316,6 +320,7 @@ def _arrays(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     sieve = docs.sparkSession.sparkContext.broadcast(_sieve(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernels.release()
         bits = sieve.value
         for batch in batches:
             at = batch.column("at").to_numpy().astype(np.uint64)
@@ -414,7 +419,7 @@ def _across(placed: DataFrame, found: DataFrame, arrays: DataFrame, percent: int
 
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row."""
-    rows = common.materialise(sets(docs, words), "sets")
+    rows = common.streamed(sets(docs, words), "sets")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(size / BUCKET_TEXT))
     chosen = common.materialise(rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("key"), F.min_by("short", "key").alias("short")), "keys")
@@ -426,25 +431,25 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     others = rows.where("n > 0").join(chosen.select("doc_id", F.col("key").alias("own")), "doc_id").where("key <> own").select("doc_id", "key", "short")
     others = others.join(heads.select("key"), "key", "left_anti").join(classes, "doc_id").groupBy("key", "short").agg(F.min("node").alias("node"))
     alias = common.materialise(heads.select("short", "node").union(others.select("short", "node")), "alias")
-    met = common.materialise(_meet(_prefixes(docs, hot_shingles(docs, words), buckets, words, percent), percent).distinct(), "met")
+    met = common.streamed(_meet(_prefixes(docs, hot_shingles(docs, words), buckets, words, percent), percent).distinct(), "met")
     of = lambda c: alias.select(F.col("short").alias(c), F.col("node").alias(f"node_{c}"))
     met = met.join(of("x"), "x").join(of("y"), "y").where("node_x <> node_y")
     met = common.materialise(met.select("pair", F.least("node_x", "node_y").alias("x"), F.greatest("node_x", "node_y").alias("y")).distinct(), "candidates")
-    likely = common.materialise(_weigh(met.where("pair").select("x", "y"), nodes, percent), "likely")
+    likely = common.streamed(_weigh(met.where("pair").select("x", "y"), nodes, percent), "likely")
     stars = met.where("not pair").select(F.col("y").alias("u"), F.col("x").alias("v"))
     families = components(stars).select("node", F.col("component").alias("family"))
     families = common.materialise(families.union(families.select("family", "family").distinct()), "families")
     ids = likely.select(F.col("x").alias("node")).union(likely.select("y")).union(families.select("node")).distinct()
-    arrays = common.materialise(_arrays(docs, ids.join(nodes.select("node", "key"), "node"), words), "arrays")
+    arrays = common.streamed(_arrays(docs, ids.join(nodes.select("node", "key"), "node"), words), "arrays")
     # each document of a pair is first compared with its smallest partner only; pairs inside what this connects need no comparison
     first = likely.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
     placed = common.materialise(_placed(families, nodes, percent), "placed")
-    found = components(common.materialise(_verify(first, arrays, percent).union(_within(placed, arrays, percent)), "links"))
+    found = components(common.streamed(_verify(first, arrays, percent).union(_within(placed, arrays, percent)), "links"))
     found = common.materialise(found, "found")
     label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     named = lambda pairs, x, y: pairs.join(label(x), x, "left").join(label(y), y, "left").select(x, y, F.coalesce(f"c{x}", x).alias("cx"), F.coalesce(f"c{y}", y).alias("cy")).where("cx <> cy")
     rest = named(likely.join(first, ["x", "y"], "left_anti"), "x", "y").select("x", "y")
-    more = common.materialise(_verify(rest, arrays, percent).union(_across(placed, found, arrays, percent)), "links")
+    more = common.streamed(_verify(rest, arrays, percent).union(_across(placed, found, arrays, percent)), "links")
     joined = components(named(more, "u", "v").select(F.col("cx").alias("u"), F.col("cy").alias("v")))
     labels = classes.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("first"))
     labels = labels.join(joined.select(F.col("node").alias("first"), "component"), "first", "left").select("doc_id", F.coalesce("component", "first").alias("component_id"))

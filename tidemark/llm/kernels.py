@@ -6,6 +6,7 @@ Texts are handled as one UTF-8 buffer per chunk with row offsets. Substring hash
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,16 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+
+
+def release() -> None:
+    """Give what earlier tasks have freed back to the system: workers live on, and what each stage took at most would stay with them."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))

@@ -86,6 +86,7 @@ def _distinct_grams(texts: DataFrame) -> DataFrame:
     """gram and its number of occurrences; tasks merge what their chunks hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernels.release()
         held, waiting = [], 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +130,7 @@ class Model:
 
     def __init__(self, texts: DataFrame) -> None:
         texts = common.materialise(texts.select("text"), "trusted")
-        counts = {ORDER: common.materialise(_distinct_grams(texts), "grams")}
+        counts = {ORDER: common.streamed(_distinct_grams(texts), "grams")}
         self.empty = counts[ORDER].isEmpty()
         for order in range(ORDER - 1, 0, -1):
             longer = counts[order + 1]
@@ -175,8 +176,8 @@ class Model:
 _JUDGED = [T.StructField("n_chars", T.LongType()), T.StructField("log_ppl", T.DoubleType()), T.StructField("log_local", T.DoubleType())]
 
 
-def _judged(chunk: pa.RecordBatch, keys: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
-    """All columns but the text, the number of characters of each row, its negative log probability per character, and that per byte of
+def _judged(chunk: pa.RecordBatch, keys: np.ndarray, logs: np.ndarray, kept: list[str]) -> pa.RecordBatch:
+    """The columns that are kept, the number of characters of each row, its negative log probability per character, and that per byte of
     its least likely LOCAL bytes in a row (all, if it has fewer)."""
     key, bounds, characters = grams(chunk.column("text"))
     distinct, back = np.unique(key, return_inverse=True)
@@ -191,17 +192,17 @@ def _judged(chunk: pa.RecordBatch, keys: np.ndarray, logs: np.ndarray) -> pa.Rec
         ends, at = np.repeat(bounds[1:], n), np.arange(LOCAL, len(key) + LOCAL)
         # windows that the row's end cuts short are part of its last whole one, whose sum is no smaller
         local[some] = np.maximum.reduceat(total[:-1] - total[np.minimum(at, ends)], bounds[:-1][some]) / np.minimum(n[some], LOCAL)
-    rest = [c for c in chunk.schema.names if c not in ("text", "block")]
-    return pa.record_batch([*(chunk.column(c) for c in rest), pa.array(characters), pa.array(mean, mask=~some), pa.array(local, mask=~some)], [*rest, "n_chars", "log_ppl", "log_local"])
+    return pa.record_batch([*(chunk.column(c) for c in kept), pa.array(characters), pa.array(mean, mask=~some), pa.array(local, mask=~some)], [*kept, "n_chars", "log_ppl", "log_local"])
 
 
-def perplexities(rows: DataFrame, model: Model, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
-    """The rows without their text, with n_chars, log_ppl (negative natural log probability per character, null for empty texts) and log_local."""
-    wanted = common.materialise(_distinct_grams(rows).select("gram"), "wanted")  # one pass over the texts
+def perplexities(rows: DataFrame, model: Model, broadcast_grams: int = BROADCAST_GRAMS, with_text: bool = False) -> DataFrame:
+    """The rows, without their text unless it is asked for, with n_chars, log_ppl (negative natural log probability per character, null for empty texts) and log_local."""
+    wanted = common.streamed(_distinct_grams(rows).select("gram"), "wanted")  # one pass over the texts
     scored = common.materialise(model.log_probabilities(wanted), "logp")
-    schema = T.StructType([*(f for f in rows.schema if f.name != "text"), *_JUDGED])
+    kept = [f for f in rows.schema if with_text or f.name != "text"]
+    schema, kept = T.StructType([*kept, *_JUDGED]), [f.name for f in kept]
     if scored.count() > broadcast_grams:
-        return _by_join(rows, scored, schema)
+        return _by_join(rows, scored, schema, kept)
     frame = scored.toArrow()  # 16 bytes a row on the driver, where rows as objects would take many times that
     keys = frame["gram"].to_numpy()
     order = np.argsort(keys)
@@ -209,13 +210,14 @@ def perplexities(rows: DataFrame, model: Model, broadcast_grams: int = BROADCAST
     del frame, keys, order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernels.release()
         for chunk in kernels.chunks(batches, limit=CHUNK_TEXT):
-            yield _judged(chunk, *known.value)
+            yield _judged(chunk, *known.value, kept)
 
     return rows.mapInArrow(run, schema)
 
 
-def _by_join(rows: DataFrame, scored: DataFrame, schema: T.StructType) -> DataFrame:
+def _by_join(rows: DataFrame, scored: DataFrame, schema: T.StructType, kept: list[str]) -> DataFrame:
     """The same by a join on the distinct n-grams of each block of documents, which come back to the block's texts."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_TEXT))
@@ -230,7 +232,7 @@ def _by_join(rows: DataFrame, scored: DataFrame, schema: T.StructType) -> DataFr
         keys = answered["gram"].to_numpy()
         order = np.argsort(keys)
         keys, logs = keys[order], answered["logp"].to_numpy()[order]
-        return pa.Table.from_batches([_judged(chunk, keys, logs) for chunk in kernels.chunks(iter(there.combine_chunks().to_batches()), limit=CHUNK_TEXT)])
+        return pa.Table.from_batches([_judged(chunk, keys, logs, kept) for chunk in kernels.chunks(iter(there.combine_chunks().to_batches()), limit=CHUNK_TEXT)])
 
     listed = rows.select("block", "text").groupBy("block").applyInArrow(run, "block long, gram long")
     answers = listed.join(scored, "gram").select(F.col("block").alias("to"), "gram", "logp")
@@ -267,8 +269,8 @@ def _limits(marked: DataFrame, column: str, quantile: float, margin: float) -> t
     return found.where("lang_key <> ''"), found.where("lang_key = ''").first()[1]
 
 
-def _decided(rows: DataFrame, labels: DataFrame, quantile: float, margin: float, train_docs: int) -> DataFrame:
-    """`rows` (doc_id, text, lang_key and what else there is) without their text, with what the classifier finds and kept."""
+def _decided(rows: DataFrame, labels: DataFrame, quantile: float, margin: float, train_docs: int, with_text: bool = False) -> DataFrame:
+    """`rows` (doc_id, text, lang_key and what else there is), without their text unless it is asked for, with what the classifier finds and kept."""
     trusted = common.materialise(trusted_ids(labels), "trusted-ids")
     held_out = F.pmod(F.xxhash64("trusted_id", F.lit("fold")), F.lit(FOLDS)) == 0
     sample = trusted.where(~held_out).orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(train_docs)
@@ -278,8 +280,8 @@ def _decided(rows: DataFrame, labels: DataFrame, quantile: float, margin: float,
     if model.empty:
         nothing = {c: F.lit(None).cast("double") for c in ("log_ppl", "log_local", *limits)}
         found = rows.withColumns({"n_chars": F.coalesce(F.char_length("text"), F.lit(0)).cast("long"), **nothing})
-        return found.drop("text").withColumn("kept", F.col("n_chars") > 0)
-    found = common.materialise(perplexities(rows, model), "perplexity")
+        return (found if with_text else found.drop("text")).withColumn("kept", F.col("n_chars") > 0)
+    found = common.streamed(perplexities(rows, model, with_text=with_text), "perplexity")
     marks = trusted.where(held_out).select(F.col("trusted_id").alias("mark_id"), F.lit(False).alias("bad")).union(bad_ids(labels, trusted).select("bad_id", F.lit(True)))
     scores = found.where("log_ppl is not null").select("doc_id", "lang_key", "log_ppl", "log_local")
     marked = common.materialise(scores.join(marks, F.col("doc_id") == F.col("mark_id")).select("lang_key", "log_ppl", "log_local", "bad"), "marked")
@@ -302,9 +304,11 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier keeps. They stay where they are: each row takes its columns along while it is scored."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), _lang_key(), F.struct(*docs.columns).alias("row"))
-    return _decided(rows, labels, QUANTILE, MARGIN, TRAIN_DOCS).where("kept").select("row.*")
+    """The documents that the classifier keeps. They stay where they are: each row takes its columns along while it is scored, the text once."""
+    rest = F.struct(*(c for c in docs.columns if c != "text")).alias("row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), _lang_key(), rest)
+    found = _decided(rows, labels, QUANTILE, MARGIN, TRAIN_DOCS, with_text=True).where("kept")
+    return found.select(*(F.col("text" if c == "text" else f"row.`{c}`") for c in docs.columns))
 
 
 def _lang_key() -> Column:
