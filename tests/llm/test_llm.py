@@ -8,6 +8,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -349,6 +350,32 @@ def test_jaccard_pairs_do_not_grow_with_copies(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == {**dict.fromkeys(range(40), 0), 50: 50}
 
 
+def test_jaccard_leaves_no_shuffle_files_of_its_prefixes(spark, monkeypatch):
+    files = lambda: sum(f.getName().startswith("shuffle_") for f in (x.apply(i) for x in [spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()] for i in range(x.size())))
+    real_meet, real_weigh, seen = jaccard._meet, jaccard._weigh, {}
+
+    def waited(*args):
+        ends = time.time() + 20
+        while (left := files()) > seen["before"] and time.time() < ends:
+            time.sleep(0.2)
+        seen["left"] = left
+        return real_weigh(*args)
+
+    def met(*args):
+        common.forget(spark)
+        time.sleep(2)
+        seen["before"] = files() + 12  # the steps between leave some of their own
+        return real_meet(*args)
+
+    monkeypatch.setattr(jaccard, "_meet", met)
+    monkeypatch.setattr(jaccard, "_weigh", waited)
+    rng = random.Random(4)
+    base = prose(rng, 60)
+    docs = spark.createDataFrame([(k, prose(rng, 60) if k % 3 else f"{base} {k}") for k in range(240)], "doc_id long, text string").repartition(24, "doc_id")
+    assert jaccard.link(docs).where("component_id = 0").count() == 80
+    assert seen["left"] <= seen["before"]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 20)] + [(30, 31), (31, 30), (5, 5)], "u long, v long")
     got = {r["node"]: r["component"] for r in components.components(edges).collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.scratch import drop, held, materialise, scratch_path, shared_dir, sweep, written
 
-__all__ = ["doc_key", "documents", "drop", "held", "materialise", "scratch_path", "shared_dir", "shuffle_partitions", "small_batches", "streamed", "sweep", "written"]
+__all__ = ["doc_key", "documents", "drop", "forget", "held", "materialise", "scratch_path", "shared_dir", "shuffle_partitions", "small_batches", "streamed", "sweep", "written"]
 
 #: Of an Arrow batch on its way to a Python worker; by rows alone, 10,000 long texts are held at once, in the JVM and again in the worker.
 BATCH_BYTES = 4 << 20
@@ -45,3 +46,9 @@ def streamed(df: DataFrame, label: str) -> DataFrame:
     """`materialise` with small batches, for tables that Python makes from texts or sets."""
     with small_batches(df.sparkSession):
         return materialise(df, label)
+
+
+def forget(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of a query that is over when the driver collects garbage, which may be many queries later; this has it done now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -427,25 +427,30 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     classes = common.materialise(chosen.join(heads.select("key", "node"), "key").select("doc_id", "node"), "classes")
     nodes = rows.join(heads.withColumnRenamed("key", "own"), (F.col("doc_id") == F.col("node")) & (F.col("key") == F.col("own"))).select("node", "key", "n", "bits").dropDuplicates(["node"])
     nodes = common.materialise(nodes, "nodes")
+    common.forget(docs.sparkSession)
     # a set that is not its document's own stands for that document's node
     others = rows.where("n > 0").join(chosen.select("doc_id", F.col("key").alias("own")), "doc_id").where("key <> own").select("doc_id", "key", "short")
     others = others.join(heads.select("key"), "key", "left_anti").join(classes, "doc_id").groupBy("key", "short").agg(F.min("node").alias("node"))
     alias = common.materialise(heads.select("short", "node").union(others.select("short", "node")), "alias")
     met = common.streamed(_meet(_prefixes(docs, hot_shingles(docs, words), buckets, words, percent), percent).distinct(), "met")
+    common.forget(docs.sparkSession)
     of = lambda c: alias.select(F.col("short").alias(c), F.col("node").alias(f"node_{c}"))
     met = met.join(of("x"), "x").join(of("y"), "y").where("node_x <> node_y")
     met = common.materialise(met.select("pair", F.least("node_x", "node_y").alias("x"), F.greatest("node_x", "node_y").alias("y")).distinct(), "candidates")
     likely = common.streamed(_weigh(met.where("pair").select("x", "y"), nodes, percent), "likely")
+    common.forget(docs.sparkSession)
     stars = met.where("not pair").select(F.col("y").alias("u"), F.col("x").alias("v"))
     families = components(stars).select("node", F.col("component").alias("family"))
     families = common.materialise(families.union(families.select("family", "family").distinct()), "families")
     ids = likely.select(F.col("x").alias("node")).union(likely.select("y")).union(families.select("node")).distinct()
     arrays = common.streamed(_arrays(docs, ids.join(nodes.select("node", "key"), "node"), words), "arrays")
+    common.forget(docs.sparkSession)
     # each document of a pair is first compared with its smallest partner only; pairs inside what this connects need no comparison
     first = likely.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
     placed = common.materialise(_placed(families, nodes, percent), "placed")
     found = components(common.streamed(_verify(first, arrays, percent).union(_within(placed, arrays, percent)), "links"))
     found = common.materialise(found, "found")
+    common.forget(docs.sparkSession)
     label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     named = lambda pairs, x, y: pairs.join(label(x), x, "left").join(label(y), y, "left").select(x, y, F.coalesce(f"c{x}", x).alias("cx"), F.coalesce(f"c{y}", y).alias("cy")).where("cx <> cy")
     rest = named(likely.join(first, ["x", "y"], "left_anti"), "x", "y").select("x", "y")
