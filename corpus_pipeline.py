@@ -1,7 +1,8 @@
 """The corpus pipeline: each stage applies one operator to all that its predecessor kept.
 
 A stage's result is lazy and rests on tables in the shared folder. It is written before the next stage is called (`run` does so), and then
-these tables go, so that the folder never holds those of two stages.
+these tables go, so that the folder never holds those of two stages. With them go the shuffle files of the stage before, and the memory that the
+driver took for it.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ def stage(f: Stage) -> Stage:
     def noted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         common.drop(_left)
         _left.clear()
+        common.forget(spark)
         before = common.held()
         out = f(spark, docs, sf_dir)
         _left.update(common.held() - before)

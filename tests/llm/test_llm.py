@@ -877,3 +877,29 @@ def test_equals_sql(spark, name):
     assert set(ORACLES) == {"op4_suffix_array_dedup", "op5_ngram_jaccard_join", "op10_warc_boundary_chain"}
     folder = "/root/testdata/sf0.001"
     assert oracle.difference(QUERIES[name](spark, folder), oracle.connect(folder), ORACLES[name]) is None
+
+
+def test_forget_gives_the_drivers_memory_back(spark):
+    jvm = spark.sparkContext._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    options = jvm.java.lang.management.ManagementFactory.getPlatformMXBean(jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean"))
+    ratios = lambda: [options.getVMOption(f"{x}HeapFreeRatio").getValue() for x in ("Min", "Max")]
+    own = ratios()
+    held = jvm.java.lang.StringBuilder()
+    held.ensureCapacity(1 << 30)
+    grown = runtime.totalMemory()
+    assert grown > 1 << 30
+    held.trimToSize()
+    common.forget(spark)
+    total = runtime.totalMemory()
+    assert total - runtime.freeMemory() > 0.5 * total and total < grown / 2 and ratios() == own
+    assert "Trim native heap" in common.trim(spark)
+
+
+def test_each_stage_begins_with_a_driver_that_forgot_the_last(spark, monkeypatch):
+    import corpus_pipeline
+
+    said = []
+    monkeypatch.setattr(common, "forget", lambda s: said.append("forgot"))
+    noted = corpus_pipeline.stage(lambda s, docs, sf_dir: said.append("ran") or docs)
+    assert noted(spark, "docs", "") == "docs" and said == ["forgot", "ran"]
